@@ -106,6 +106,7 @@ def candidates(text: str) -> list[tuple[float, list[str]]]:
         add(2 * PART_BITS, *_parse(text[1:-1], "bs", frozenset(",")))
     elif len(text) > 1 and text[0] == "{" and text[-1] == "}":
         add(PART_BITS, *_parse(text[1:-1], "b", frozenset(",")))
+        add(PART_BITS, *_parse(text[1:-1], "c", frozenset(",")))
     present = sorted(set(_MARKS.findall(text)))
     for delims in _delimiter_sets(present):
         bits = PART_BITS * len(delims)

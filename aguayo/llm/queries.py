@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .frequency import value_frequencies
+from .leakage import find_leaks, leaked_items, remove_leaks
 from .packing import container_fill, pack_texts
 from .splitting import split_texts
 from .tokens import WORDS
@@ -30,6 +31,18 @@ def p8_container_fill(spark: SparkSession, d: str) -> DataFrame:
     return container_fill(p8_assignments(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(p9_stretches(spark, d), "doc_id", "item_id")
+
+
+def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
+
+
+def p9_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    return remove_leaks(table(spark, d, "documents"), p9_stretches(spark, d), "doc_id").select("doc_id", "text", "removed_spans")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_texts(table(spark, d, "documents"), "doc_id", "text", ranks=WORDS, with_text=False)
     return pieces.filter(F.col("piece") == 1).select("doc_id")
@@ -39,4 +52,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p9_found, p9_stretches, p9_clean_documents, p10_found, p10_pieces)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .frequency import value_frequencies
+from .garbled import find_garbled
 from .leakage import find_leaks, leaked_items, remove_leaks
 from .packing import container_fill, pack_texts
 from .splitting import split_texts
@@ -15,6 +16,14 @@ from .tokens import WORDS
 COUNTED = ["culture", "classification", "period"]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_restored(spark, d).select("row_id", "field_name")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "paper_corpus"), "row_id", ["title", "description", "culture"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_value_frequencies(spark, d).filter(F.col("mark").isNotNull()).select("field_name", "value_text", "mark")
 
@@ -52,4 +61,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p9_found, p9_stretches, p9_clean_documents, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p9_found, p9_stretches, p9_clean_documents, p10_found, p10_pieces)}

@@ -44,6 +44,8 @@ def garble(text: str, written: str, read: str) -> str | None:
 def plausible(c: str) -> bool:
     """Whether a character may be the original of a two- or three-byte sequence."""
     o = ord(c)
+    if c in chars_to_bytes(SINGLE) and o > 127:  # also half-way back from a text that was read wrongly twice
+        return True
     return 0xA0 <= o <= 0x17F or 0x300 <= o <= 0x36F or 0x370 <= o <= 0x45F or 0x2010 <= o <= 0x203A or 0x2190 <= o <= 0x22FF or c in "€™"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .canon import map_values, unmatched
 from .frequency import value_frequencies
 from .garbled import find_garbled
 from .leakage import find_leaks, leaked_items, remove_leaks
@@ -24,6 +25,18 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(table(spark, d, "paper_corpus"), "row_id", ["title", "description", "culture"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_mapped(spark, d).select("row_id", "field_name", "entry_id")
+
+
+def p5_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return map_values(table(spark, d, "paper_corpus"), table(spark, d, "canonical_terms"), "row_id", ["culture", "material", "technique", "object_type"])
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return unmatched(p5_mapped(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_value_frequencies(spark, d).filter(F.col("mark").isNotNull()).select("field_name", "value_text", "mark")
 
@@ -61,4 +74,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p9_found, p9_stretches, p9_clean_documents, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_mapped, p5_unmatched, p7_found, p7_value_frequencies, p8_assignments, p8_container_fill, p9_found, p9_stretches, p9_clean_documents, p10_found, p10_pieces)}

@@ -162,7 +162,11 @@ class Mapping:
                 signs = sign_pattern(r)
                 if words or signs and signs.search(text):
                     every, table, own = all_images(r), chars_to_bytes(r), bytes_to_chars(SINGLE)
-                    x = "".join(every.get(c, c) for c in (signs.sub(lambda m: own[table[m[0]]], text) if signs else text))
+                    x, at = "", 0
+                    for m in signs.finditer(text) if signs else ():
+                        x += "".join(every.get(c, c) for c in text[at : m.start()]) + own[table[m[0]]]
+                        at = m.end()
+                    x += "".join(every.get(c, c) for c in text[at:])
                     left = sum(odd(w, union) for w in _WORD.findall(x)), sum(not c.isalpha() for w in words for c in "".join(every.get(c, c) for c in w))
                     if fewest is None or left < fewest:
                         best, fewest = x, left

@@ -108,6 +108,8 @@ def odd(word: str, images: dict[str, str]) -> bool:
                 return True
             if c.isupper() and before.islower() and not word.isupper():
                 return True
+            if c.isupper() and images[c].islower() and before.isupper() and after.islower():
+                return True
         elif unicodedata.category(c)[0] == "P":  # punctuation: only between letters of the same case as its letter
             if c != "’" and before.isalpha() and after.isalpha() and (before.isupper() and after.isupper()) == images[c].isupper():
                 return True
@@ -132,3 +134,10 @@ def sign_pattern(read: str) -> re.Pattern | None:
     if boxes:
         parts.append(f"[{boxes}]")
     return re.compile("|".join(parts)) if parts else None
+
+
+@lru_cache(64)
+def sign_images(read: str) -> frozenset[str]:
+    """Characters at which sign_pattern can match."""
+    t, own = bytes_to_chars(read), chars_to_bytes(SINGLE)
+    return frozenset(t[own[c]] for c in "°º¿" if t[own[c]] != c and not t[own[c]].isspace()) | frozenset(c for c in t if 0x2500 <= ord(c) <= 0x259F)

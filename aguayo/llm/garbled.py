@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.arrow import columns, rows_out
 from ..functions.lineage import checkpointed
-from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, garble, letter_images, odd, sign_pattern, utf8_char, utf8_pattern
+from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, garble, letter_images, odd, sign_images, sign_pattern, utf8_char, utf8_pattern
 
 LOST = "�"
 BY_TWIN = -1  # in place of a transformation: lost characters that the twin still has
@@ -104,21 +105,46 @@ def choose_transforms(sets: list[tuple[list[int], int]], support: int) -> list[i
 class Mapping:
     """The learned transformations, ready to be applied to a text."""
 
-    def __init__(self, chosen: list[int]):
+    def __init__(self, chosen: list[int], alphabet: str = ""):
+        self.alphabet = frozenset(alphabet)
         self.utf8 = [r for w, r in (TRANSFORMS[i] for i in chosen) if w == UTF8]
         self.single = [r for w, r in (TRANSFORMS[i] for i in chosen) if w == SINGLE]
 
     def triggers(self) -> str:
-        """Characters without one of which no text can be garbled by these transformations."""
-        out = {LOST}
+        """A regular expression for Java; joined WORDs without a match can hold nothing garbled by these transformations."""
+        esc = lambda cs: "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(cs)))
+        parts = [f"[{esc(LOST)}\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9f}}]"]
         for r in self.utf8:
-            out.update(bytes_to_chars(r)[0xC2:0xF0])
+            t = bytes_to_chars(r)
+            parts.append(f"[{esc(t[0xC2:0xF0])}][{esc(t[0x80:0xC0])}]")
+        upper, inner, other = set(), set(), set()
         for r in self.single:
-            out.update(letter_images(r))
-            out.update(all_images(r))
-            out.update(c for c in bytes_to_chars(r)[0xA1:0xC0] if c.isalpha())
-        out.update(chr(o) for o in range(0x80, 0xA0) if o != 0x85)
-        return "".join(sorted(c for c in out if ord(c) > 127))
+            for c in letter_images(r):
+                if c.isalpha() and c.isupper() and "LATIN" in unicodedata.name(c, ""):
+                    upper.add(c)
+                elif unicodedata.category(c)[0] == "P" and c != "·":
+                    inner.add(c)
+                else:
+                    other.add(c)
+            other.update(sign_images(r))
+        if upper:
+            parts.append(f"(?<![\\p{{Lu}}\\p{{M}}])[{esc(upper)}]|[{esc(upper)}](?=\\p{{Ll}})")
+        if inner:
+            parts.append(f"(?<=\\p{{L}})[{esc(inner)}](?=\\p{{L}})")
+        if other:
+            parts.append(f"[{esc(other)}]")
+        return "(?=[\\x{80}-\\x{10FFFF}])(?:" + "|".join(parts) + ")"
+
+    def word(self, word: str) -> int:
+        """0 for a word that holds nothing, 1 for one that may be garbled in its text, 2 for one that only a twin can tell."""
+        if LOST in word or _CONTROLS.search(word) or any(self._utf8(word, r) is not None for r in self.utf8) or any(odd(word, letter_images(r)) for r in self.single):
+            return 1
+        for r in self.single:
+            images = letter_images(r)
+            for i, c in enumerate(word):
+                if c in images and images[c] in self.alphabet and (c.isalpha() or c == "·") and (c.isupper() == images[c].isupper() or not i or not word[i - 1].isalpha()):
+                    return 2
+        return 0
 
     def _utf8(self, text: str, read: str) -> str | None:
         """The text with all sequences of the transformation read right; None if there is none."""
@@ -176,8 +202,7 @@ class Mapping:
 
     def doubtful(self, text: str) -> list[str]:
         """Words that look right, but may be images of others: only a twin can tell."""
-        images = [letter_images(r) for r in self.single]
-        return [w for w in _WORD.findall(text) if any(c in im for im in images for c in w)]
+        return [w for w in _WORD.findall(text) if self.word(w) == 2]
 
 
 def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -> DataFrame:
@@ -199,22 +224,39 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
     # as many rows as there are sets of transformations that explain a word
     sets = [(list(r.why), r.n) for r in explained.groupBy("why").agg(F.count_distinct("word").alias("n")).collect()]
     chosen = choose_transforms(sets, support)
-    mapping = Mapping(chosen)
+    # the letters beyond ASCII of all twins, a small set
+    letters = explained.select(F.explode(F.split(F.regexp_replace("twin", "[\\x00-\\x7f]", ""), "")).alias("c")).distinct().limit(2_000).collect()
+    mapping = Mapping(chosen, "".join(r.c for r in letters))
     schema = pa.schema([("row_id", pa.int64()), ("field_name", pa.string()), ("value_text", pa.string()), ("restored", pa.string()), ("sure", pa.bool_()), ("words", pa.list_(pa.string()))])
 
     def apply(batches):
+        signs = [p for p in (sign_pattern(r) for r in mapping.single) if p]
+        memo: dict[str, int] = {}
+
+        def kind(w: str) -> int:
+            k = memo.get(w)
+            if k is None:
+                if len(memo) > 200_000:
+                    memo.clear()
+                k = memo[w] = mapping.word(w)
+            return k
+
         def rows():
             for b in batches:
                 for i, f, t in zip(*columns(b, "row_id", "field_name", "value")):
-                    garbled, x = mapping.restore(t)
-                    words = [w for w in _WORD.findall(x) if LOST in w] if garbled else mapping.doubtful(t)
-                    if garbled or words:
-                        yield i, f, t, x, garbled, words
+                    kinds = set(map(kind, _WORD.findall(t)))
+                    if 1 in kinds or any(p.search(t) for p in signs):
+                        garbled, x = mapping.restore(t)
+                        if garbled:
+                            yield i, f, t, x, True, [w for w in _WORD.findall(x) if LOST in w]
+                            continue
+                    if 2 in kinds:
+                        yield i, f, t, t, False, mapping.doubtful(t)
 
         yield from rows_out(schema, rows(), 5_000)
 
-    cls = "".join(f"\\x{{{ord(c):x}}}" for c in mapping.triggers())
-    hits = beyond.filter(F.col("value").rlike(f"[{cls}]")).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
+    words = F.array_join(F.regexp_extract_all("value", F.lit(WORD), F.lit(0)), " ")
+    hits = long.filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
     hits = checkpointed(hits)
     wanted = F.array(*[F.lit(i) for i in [*chosen, BY_TWIN]])
     twins = explained.filter(F.arrays_overlap("why", wanted)).groupBy("word").agg(F.min("twin").alias("twin"))

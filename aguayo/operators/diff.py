@@ -20,6 +20,8 @@ def diff_copies(main: DataFrame, mirror: DataFrame, key: str, fields: list[str])
     agree; where repeated rows of one side disagree, the greatest value of each field counts.
     Extra columns are not read; an empty side makes every key one-sided.
     """
+    if key == "diff" or len(set(fields)) < len(fields):
+        raise ValueError("the key must not be named diff, and no field may be given twice")
     names = [f"f{i}" for i in range(len(fields))]
 
     def side(df: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import checkpointed
 from ..functions.text import clean, ratio
 
 LONG_TEXT = 80  # characters from which a value is described by the classes it holds, not by their order
@@ -34,42 +35,53 @@ def value_groups(df: DataFrame, fields: list[str], load: str = "load_id") -> Dat
     )
 
 
-def load_metrics(df: DataFrame, fields: list[str], load: str = "load_id", dominant_share: float = 0.01, rare_share: float = 0.001) -> DataFrame:
-    """A row per load and field with the figures of the load and their change against the one before.
+def mask_table(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFrame:
+    """Rows, values, novelty and lengths per field, mask and load: what all reports are made of.
 
-    rows_total, missing, distinct_values, chars_min, chars_max, chars_sum, novel_rows (value in no
-    earlier load), dominant_masks, violations (rows whose mask has less than ``rare_share`` of the
-    field's values), mask_divergence (Jensen-Shannon, base 2, against the load before), and
-    missing_before, present_before, chars_sum_before, rows_before of that load. Rows of no load
-    (NULL) are left out. An empty table gives no rows; a load with only missing values has
-    NULL lengths and no divergence.
+    novel are the rows whose value stands in no earlier load. It is far smaller than the input and
+    written once to the checkpoint folder, so reports that need it twice read the input once.
     """
     g = value_groups(df, fields, load)
-    first = W.partitionBy("field_name", "v")
-    g = g.withColumn("first_load", F.min("load_id").over(first))
-    by_mask = g.groupBy("field_name", "mask", "load_id").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("first_load") == F.col("load_id"), F.col("n")).otherwise(0)).alias("novel"),
-        F.count(F.when(F.col("first_load") == F.col("load_id"), 1)).alias("new_values"),
-        F.count(F.lit(1)).alias("values"),
-        F.min("chars").alias("chars_min"),
-        F.max("chars").alias("chars_max"),
-        F.sum(F.col("chars") * F.col("n")).alias("chars_sum"),
+    g = g.withColumn("first_load", F.min("load_id").over(W.partitionBy("field_name", "v")))
+    return checkpointed(
+        g.groupBy("field_name", "mask", "load_id").agg(
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("first_load") == F.col("load_id"), F.col("n")).otherwise(0)).alias("novel"),
+            F.count(F.lit(1)).alias("values"),
+            F.min("chars").alias("chars_min"),
+            F.max("chars").alias("chars_max"),
+            F.sum(F.col("chars") * F.col("n")).alias("chars_sum"),
+        )
     )
+
+
+def _field_masks(masks: DataFrame) -> DataFrame:
+    """(field_name, mask, mask_n, field_n) over all loads, missing values left out."""
+    full = masks.filter(F.col("mask") != "")
+    total = full.groupBy("field_name").agg(F.sum("n").alias("field_n"))
+    return full.groupBy("field_name", "mask").agg(F.sum("n").alias("mask_n")).join(total, "field_name")
+
+
+def load_metrics(masks: DataFrame, dominant_share: float = 0.01, rare_share: float = 0.001) -> DataFrame:
+    """A row per load and field of a mask_table with the figures of the load and of the one before.
+
+    rows_total, missing, distinct_values, chars_min, chars_max, chars_sum, novel_rows (value in no
+    earlier load), dominant_masks, violations (rows whose mask has less than ``rare_share`` of the
+    field's values), and load_before, rows_before, missing_before, present_before,
+    chars_sum_before. An empty table gives no rows; a load with only missing values has NULL
+    lengths.
+    """
     empty = F.col("mask") == ""
-    # figures of a field: one small aggregate of masks, joined back
-    total = by_mask.filter(~empty).groupBy("field_name").agg(F.sum("n").alias("field_n"))
-    field_mask = by_mask.filter(~empty).groupBy("field_name", "mask").agg(F.sum("n").alias("mask_n")).join(total, "field_name")
-    field_mask = field_mask.withColumn("share", F.col("mask_n") / F.col("field_n"))
-    m = by_mask.join(field_mask.select("field_name", "mask", "share"), ["field_name", "mask"], "left")
+    m = masks.join(_field_masks(masks), ["field_name", "mask"], "left").withColumn("share", F.col("mask_n") / F.col("field_n"))
+    total = lambda c: F.coalesce(F.sum(F.when(~empty, c)), F.lit(0))
     per_load = m.groupBy("field_name", "load_id").agg(
         F.sum("n").alias("rows_total"),
         F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("missing"),
-        F.coalesce(F.sum(F.when(~empty, F.col("values"))), F.lit(0)).alias("distinct_values"),
+        total(F.col("values")).alias("distinct_values"),
         F.min(F.when(~empty, F.col("chars_min"))).alias("chars_min"),
         F.max(F.when(~empty, F.col("chars_max"))).alias("chars_max"),
-        F.coalesce(F.sum(F.when(~empty, F.col("chars_sum"))), F.lit(0)).alias("chars_sum"),
-        F.coalesce(F.sum(F.when(~empty, F.col("novel"))), F.lit(0)).alias("novel_rows"),
+        total(F.col("chars_sum")).alias("chars_sum"),
+        total(F.col("novel")).alias("novel_rows"),
         F.count(F.when(~empty & (F.col("share") >= dominant_share), 1)).alias("dominant_masks"),
         F.coalesce(F.sum(F.when(~empty & (F.col("share") < rare_share), F.col("n"))), F.lit(0)).alias("violations"),
     )
@@ -79,13 +91,14 @@ def load_metrics(df: DataFrame, fields: list[str], load: str = "load_id", domina
     return per_load.withColumn("present_before", F.col("rows_before") - F.col("missing_before"))
 
 
-def mask_divergence(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFrame:
-    """(field_name, load_id, mask_divergence): Jensen-Shannon divergence of masks against the load before.
+def mask_divergence(masks: DataFrame) -> DataFrame:
+    """(field_name, load_id, mask_divergence): Jensen-Shannon divergence (base 2) of a load's masks against the load before.
 
     Masks of a load and of the next one meet by grouping, no join of loads: every mask counts for
-    its own load and, as ``q``, for the load after it. Loads without values give no row.
+    its own load and, as ``q``, for the load after it. Loads without values give no row, the first
+    one NULL.
     """
-    by_mask = value_groups(df, fields, load).filter(F.col("mask") != "").groupBy("field_name", "load_id", "mask").agg(F.sum("n").alias("n"))
+    by_mask = masks.filter(F.col("mask") != "").select("field_name", "load_id", "mask", "n")
     totals = by_mask.groupBy("field_name", "load_id").agg(F.sum("n").alias("total"))
     totals = totals.withColumn("next_load", F.lead("load_id").over(W.partitionBy("field_name").orderBy("load_id")))
     share = by_mask.join(totals, ["field_name", "load_id"]).withColumn("share", F.col("n") / F.col("total"))
@@ -97,12 +110,10 @@ def mask_divergence(df: DataFrame, fields: list[str], load: str = "load_id") ->
     return met.groupBy("field_name", F.col("at").alias("load_id")).agg(F.when(firsts, F.round(F.sum(0.5 * h(F.col("p")) + 0.5 * h(F.col("q"))), 9)).alias("mask_divergence"))
 
 
-def mask_violations(df: DataFrame, fields: list[str], load: str = "load_id", rare_share: float = 0.001) -> DataFrame:
+def mask_violations(masks: DataFrame, rare_share: float = 0.001) -> DataFrame:
     """Rows per load, field and rare mask (less than ``rare_share`` of the field's values)."""
-    by_mask = value_groups(df, fields, load).filter(F.col("mask") != "").groupBy("field_name", "mask", "load_id").agg(F.sum("n").alias("n"))
-    total = by_mask.groupBy("field_name").agg(F.sum("n").alias("field_n"))
-    rare = by_mask.groupBy("field_name", "mask").agg(F.sum("n").alias("mask_n")).join(total, "field_name").filter(F.col("mask_n") < rare_share * F.col("field_n"))
-    return by_mask.join(rare.select("field_name", "mask", "mask_n"), ["field_name", "mask"]).select("load_id", "field_name", "mask", "n", "mask_n")
+    rare = _field_masks(masks).filter(F.col("mask_n") < rare_share * F.col("field_n"))
+    return masks.join(rare.select("field_name", "mask", "mask_n"), ["field_name", "mask"]).select("load_id", "field_name", "mask", "n", "mask_n")
 
 
 def changes(metrics: DataFrame, missing_step: float = 0.15, length_factor: float = 1.4, novel_share: float = 0.25, not_novel: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +135,7 @@ def changes(metrics: DataFrame, missing_step: float = 0.15, length_factor: float
 
 def profile(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFrame:
     """The report: load_metrics with rates, the range of values and the mask divergence."""
-    m = load_metrics(df, fields, load)
+    masks = mask_table(df, fields, load)
     ranges = (
         df.filter(F.col(load).isNotNull())
         .select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), clean(f).alias("value")) for f in fields])))
@@ -133,8 +144,9 @@ def profile(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFram
         .agg(F.min("value").alias("value_min"), F.max("value").alias("value_max"))
     )
     return (
-        m.join(ranges, ["field_name", "load_id"], "left")
-        .join(mask_divergence(df, fields, load), ["field_name", "load_id"], "left")
+        load_metrics(masks)
+        .join(ranges, ["field_name", "load_id"], "left")
+        .join(mask_divergence(masks), ["field_name", "load_id"], "left")
         .select(
             "load_id", "field_name", "rows_total", "missing", ratio(F.col("missing"), F.col("rows_total")).alias("missing_rate"), "distinct_values",
             "chars_min", "chars_max", "chars_sum", "value_min", "value_max", "novel_rows", "dominant_masks", "violations", "mask_divergence",

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import clean
 
-NEVER = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+NEVER = "9999-12-31 00:00:00"  # the end of what was never deleted
 
 
 def tagged_keys(links: list[tuple[str, DataFrame, str, str, DataFrame, str]]) -> DataFrame:
@@ -19,7 +19,7 @@ def tagged_keys(links: list[tuple[str, DataFrame, str, str, DataFrame, str]]) ->
     """
     out = None
     for src, child, ck, _, parent, pk in links:
-        p = parent.select(F.lit(src).alias("src_table"), clean(pk).alias("key"), F.col("loaded_at").cast("timestamp_ntz").alias("at"), F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), NEVER).alias("ends"))
+        p = parent.select(F.lit(src).alias("src_table"), clean(pk).alias("key"), F.col("loaded_at").cast("timestamp_ntz").alias("at"), F.coalesce(F.col("deleted_at").cast("timestamp_ntz"), F.lit(NEVER).cast("timestamp_ntz")).alias("ends"))
         p = p.filter(F.col("key") != "").groupBy("src_table", "key", "at").agg(F.max("ends").alias("ends")).withColumn("row_id", F.lit(None).cast("long"))
         c = child.select(F.lit(src).alias("src_table"), clean(ck).alias("key"), F.col("loaded_at").cast("timestamp_ntz").alias("at"), F.lit(None).cast("timestamp_ntz").alias("ends"), F.col("row_id").cast("long").alias("row_id")).filter(F.col("key") != "")
         both = p.unionByName(c)

@@ -92,7 +92,7 @@ def candidates(text: str) -> list[tuple[float, list[str]]]:
     def add(bits: float, values: list[str], bare: int = 0) -> None:
         k = tuple(values)
         bits += MARK_BITS * bare
-        if k and bits < found.get(k, 1e9):
+        if bits < found.get(k, 1e9):
             found[k] = bits
 
     if len(text) > 1 and text[0] == "[" and text[-1] == "]":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.diff import diff_copies
-from ..operators.masks import changes, load_metrics, mask_violations, profile
+from ..operators.masks import changes, load_metrics, mask_table, mask_violations, profile
 from ..operators.orphans import find_orphans, orphan_counts
 from ..operators.packed import unpack
 from ..sources.tables import table
@@ -42,7 +42,7 @@ def p2_diff_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return changes(load_metrics(table(spark, d, "paper_corpus"), PROFILED), not_novel=("description",))
+    return changes(load_metrics(mask_table(table(spark, d, "paper_corpus"), PROFILED)), not_novel=("description",))
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_mask_violations(spark: SparkSession, d: str) -> DataFrame:
-    return mask_violations(table(spark, d, "paper_corpus"), PROFILED)
+    return mask_violations(mask_table(table(spark, d, "paper_corpus"), PROFILED))
 
 
 def _links(spark: SparkSession, d: str) -> list:

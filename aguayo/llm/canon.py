@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 
 import ahocorasick
@@ -102,7 +103,7 @@ class Terms:
             self.automaton.add_word(f" {n} ", (n, e))
         self.automaton.make_automaton()
         self.alphabet = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
-        self.bags = np.array([self._bag(n) for n, _ in self.names], dtype=np.int16).reshape(len(self.names), -1)
+        self.bags = np.array([self._bag(n) for n, _ in self.names], dtype=np.int16).reshape(len(self.names), len(self.alphabet) + 1)
 
     def _bag(self, t: str) -> list[int]:
         v = [0] * (len(self.alphabet) + 1)
@@ -113,12 +114,14 @@ class Terms:
     def mentions(self, words: list[str]) -> list[tuple[int, int, str, int]]:
         """Longest mentions that do not overlap, as (start, end, name, entry) in words; ties go to the left."""
         text = " " + " ".join(words) + " "
-        found = [(end - len(n) - 1, n, e) for end, (n, e) in self.automaton.iter(text)]
+        spaces = [i for i, c in enumerate(text) if c == " "]
+        found = [(bisect_left(spaces, end - len(n) - 1), n, e) for end, (n, e) in self.automaton.iter(text)]
         out: list[tuple[int, int, str, int]] = []
-        for a, n, e in sorted(found, key=lambda f: (-len(f[1]), f[0])):
-            i = text.count(" ", 0, a + 1) - 1
+        taken = bytearray(len(words))
+        for i, n, e in sorted(found, key=lambda f: (-len(f[1]), f[0])):
             j = i + n.count(" ") + 1
-            if all(j <= x or i >= y for x, y, _, _ in out):
+            if not any(taken[i:j]):
+                taken[i:j] = b"\1" * (j - i)
                 out.append((i, j, n, e))
         return out
 
@@ -165,6 +168,8 @@ class Terms:
 
     def match(self, value: str) -> tuple[int, str]:
         """(entry, how): how is ``mention``, ``similar`` or ``none`` with entry 0."""
+        if not self.names:
+            return 0, "none"
         best: tuple[tuple, int, str] | None = None
         for text in readings(value):
             words = [w for w in text.split(" ") if w.strip(".,")]

@@ -22,6 +22,8 @@ def run_lengths(df: DataFrame, fields: list[str], record: str) -> DataFrame:
     all distinct records. Missing values and NULL are no values; a missing record identifier still
     counts as an occurrence, but is no record. Empty tables give no rows.
     """
+    if EVERY in fields:
+        raise ValueError(f"no field may be named {EVERY}")
     named = [F.struct(F.lit(f).alias("field_name"), clean(f).alias("value_text")) for f in fields]
     pairs = (
         df.select(clean(record).alias("record"), F.inline(F.array(F.struct(F.lit(EVERY).alias("field_name"), F.lit("").alias("value_text")), *named)))

@@ -21,16 +21,16 @@ _MARKS = re.compile("[̀-ͯ­​-‍﻿]+")
 _BROKEN = re.compile(r"(?<=\w)-+[ \t]*\r?\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);")
-_PIECE = re.compile(rf"{_ENTITY.pattern}|(?<=\w)-+[ \t]*\r?\n\s*(?=\w)|.", re.S)
+_PIECE = re.compile(rf"{_ENTITY.pattern}|.", re.S)
 
 
 def words(text: str) -> list[str]:
     """Lower-case words without accents; entities read, words broken at a line end joined."""
     if "&" in text:
-        text = html.unescape(text)
+        text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
     text = text.lower()
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("ς", "σ")
     if "-" in text:
         text = _BROKEN.sub("", text)
     return _WORD.findall(text)
@@ -40,14 +40,16 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end) with places in the text as it stands: the same words, found piece by piece."""
     out, where = [], []
     for m in _PIECE.finditer(text):
-        s = m[0]
-        if len(s) > 1 and s[0] == "-":
-            continue
-        s = html.unescape(s) if len(s) > 1 else s
-        s = _MARKS.sub("", unicodedata.normalize("NFKD", s.lower()))
-        out.append(s)
-        where += [(m.start(), m.end())] * len(s)
-    return [(m[0], where[m.start()][0], where[m.end() - 1][1]) for m in _WORD.finditer("".join(out))]
+        c = html.unescape(m[0]) if len(m[0]) > 1 else m[0]
+        c = _MARKS.sub("", unicodedata.normalize("NFKD", c.lower())).replace("ς", "σ")
+        out.append(c)
+        where += [m.span()] * len(c)
+    flat, keep, at = "".join(out), [], 0
+    for m in _BROKEN.finditer(flat):
+        keep += range(at, m.start())
+        at = m.end()
+    keep += range(at, len(flat))
+    return [(m[0], where[keep[m.start()]][0], where[keep[m.end() - 1]][1]) for m in _WORD.finditer("".join(flat[i] for i in keep))]
 
 
 def near(a: str, b: str) -> bool:
@@ -142,6 +144,7 @@ class Index:
         done: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for p, _, found in hits:
             for k, q in found:
+                done[k] = [s for s in done[k] if s[1] >= p]  # hits come in order: earlier stretches can't hold them
                 if any(a <= p <= z and b <= q <= y for a, z, b, y in done[k]):
                     continue  # inside a stretch that is known
                 v = self.items[k][1]
@@ -161,17 +164,19 @@ def _blocks(items: DataFrame, item: str, text: str) -> list[list[tuple[int, str]
         yield [tuple(r) for r in (rows if n == 1 else rows.filter(F.pmod(F.xxhash64(item), F.lit(n)) == k)).collect()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", least: int = 15, formula_share: float = 0.01, agreeing: float = 0.6) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", least: int = 15, formula_share: float = 0.01, formula_least: int = 25, agreeing: float = 0.6) -> DataFrame:
     """Documents that hold a passage of an item: key, item, first_word, last_word (from 0), n_words.
 
     A stretch counts with its item words from the first to the last that agree; at least
     ``least`` of them, leaving out those covered only by standing formulas (n-grams in more than
-    ``formula_share`` of all documents), and ``agreeing`` of them word for word or nearly so. One
+    ``formula_share`` of all documents and in at least ``formula_least``), and ``agreeing`` of them word for word or nearly so. One
     row per document, item and stretch. The set of n-grams is broadcast, documents are scanned
     once without a shuffle; only the counts of found n-grams, added up in each task before, are
     shuffled. Larger sets of items are taken block by block. NULL and empty texts hold nothing;
     repeated documents each give their rows; no items or no documents give no rows.
     """
+    if key == item:
+        raise ValueError("documents and items need keys of different names")
     n_docs = docs.count()
     schema = pa.schema([("gram", pa.string()), ("n", pa.int64()), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
     spark = docs.sparkSession
@@ -203,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
         out = part if out is None else out.unionByName(part)
     found = checkpointed(out)
     # standing formulas: at most 1 / formula_share n-grams per window of a document, and only n-grams of the items
-    formulas = found.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > formula_share * n_docs).select("gram")
+    formulas = found.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter((F.col("n") > formula_share * n_docs) & (F.col("n") >= formula_least)).select("gram")
     hits = found.filter("gram is null").drop("gram", "n").withColumn("hit", F.monotonically_increasing_id())
     in_formula = hits.select("hit", F.posexplode("grams").alias("q", "gram")).join(formulas, "gram", "left_semi").groupBy("hit").agg(F.collect_set("q").alias("q"))
     covered = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda q: F.sequence(q, q + N - 1))))
@@ -221,11 +226,12 @@ def remove_leaks(docs: DataFrame, leaks: DataFrame, key: str, text: str = "text"
     """The documents without what leaked: without the spans, or (``whole``) without the documents.
 
     With spans, columns of the documents stay as they are but for the text, and ``removed_spans``
-    counts the cuts; overlapping stretches are cut once. Other documents stay unchanged.
+    (in place of a column of that name) counts the cuts; overlapping stretches are cut once. Other documents stay unchanged.
     """
     if whole:
         return docs.join(leaks.select(key).distinct(), key, "left_anti")
-    spans = leaks.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set(F.struct("first_word", "last_word"))).alias("_spans"))
+    k, sp, cuts = "__leak_key", "__leak_spans", "__leak_cuts"  # names that no table is expected to have
+    spans = leaks.groupBy(F.col(key).alias(k)).agg(F.sort_array(F.collect_set(F.struct("first_word", "last_word"))).alias(sp))
 
     @F.pandas_udf("struct<text string, cuts int>")
     def cut(t, s):
@@ -243,7 +249,7 @@ def remove_leaks(docs: DataFrame, leaks: DataFrame, key: str, text: str = "text"
 
         return pd.DataFrame([one(x, sp) for x, sp in zip(t, s)], columns=["text", "cuts"])
 
-    joined = docs.join(spans, docs[key] == F.col("_k"), "left").drop("_k")
-    rest = joined.filter("_spans is null").withColumn("removed_spans", F.lit(0)).drop("_spans")
-    clean = joined.filter("_spans is not null").withColumn("_c", cut(F.col(text), F.col("_spans"))).withColumns({text: F.col("_c.text"), "removed_spans": F.col("_c.cuts")}).drop("_c", "_spans")
+    joined = docs.drop("removed_spans").join(spans, docs[key] == F.col(k), "left").drop(k)
+    rest = joined.filter(F.col(sp).isNull()).withColumn("removed_spans", F.lit(0)).drop(sp)
+    clean = joined.filter(F.col(sp).isNotNull()).withColumn(cuts, cut(F.col(text), F.col(sp))).withColumns({text: F.col(f"{cuts}.text"), "removed_spans": F.col(f"{cuts}.cuts")}).drop(cuts, sp)
     return rest.unionByName(clean)

@@ -43,9 +43,9 @@ def _segments(text: str, starts: list[int], total: list[int], room: int) -> list
         if level == INSIDE:
             at, i = [], a
             while total[z] - total[i] > room:  # parts as they come, as many as fit
-                j = max(i + 1, bisect_right(total, total[i] + room) - 1)
-                at.append(j)
-                i = j
+                i = max(i + 1, bisect_right(total, total[i] + room) - 1)
+                if i < z:
+                    at.append(i)
         else:
             lo, hi = starts[a], starts[z] if z < len(starts) else len(text)
             at = sorted({j for m in _LEVELS[level].finditer(text, lo, hi) if a < (j := bisect_right(starts, m.end()) - 1) < z and total[j] > total[a]})
@@ -67,9 +67,9 @@ def split_spans(text: str, tok, limit: int, overlap: int) -> list[tuple[int, int
     n = tok.count(text)
     if n <= limit:
         return [(0, len(text), n, 0)]
-    starts, sizes = tok.parts(text)
-    total = [0, *accumulate(sizes)]
     room = limit - overlap
+    starts, sizes = tok.parts(text, room)
+    total = [0, *accumulate(sizes)]
     seg = _segments(text, starts, total, room)
     first = [a for a, _ in seg]
     size = [total[z] - total[a] for a, z in zip(first, [*first[1:], len(starts)])]
@@ -94,8 +94,9 @@ def split_spans(text: str, tok, limit: int, overlap: int) -> list[tuple[int, int
     out, before = [], 0
     for k, (a, z) in enumerate(zip(heads, [*heads[1:], len(starts)])):
         at = starts[a] if k else 0
-        begin, again = _repeat(text, tok, starts, total, a, before, overlap) if k else (0, 0)
-        out.append((begin, starts[z] if z < len(starts) else len(text), total[z] - total[a] + again, again))
+        core = total[z] - total[a]
+        begin, again = _repeat(text, tok, starts, total, a, before, min(overlap, max(0, limit - core))) if k else (0, 0)
+        out.append((begin, starts[z] if z < len(starts) else len(text), core + again, again))
         before = begin if k else at
     return out
 

@@ -16,7 +16,7 @@ WORDS = "words"  # in place of a path: runs of letters and numbers, and each oth
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BPE = regex.compile(PATTERN)
 _WORD = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")
-LONG = 64  # characters from which a part is not kept in the memo and may be cut inside
+LONG = 64  # characters from which a part is not kept in the memo
 
 
 class _Memo(dict):
@@ -49,14 +49,16 @@ class Bpe:
     def count(self, text: str) -> int:
         return sum(map(self.memo.__getitem__, _BPE.findall(text)))
 
-    def parts(self, text: str) -> tuple[list[int], list[int]]:
-        """Starts of the parts and their token counts; parts of more than LONG characters come in chunks."""
+    def parts(self, text: str, most: int = 1 << 30) -> tuple[list[int], list[int]]:
+        """Starts of the parts and their token counts; a part of more than ``most`` tokens comes in chunks that have less."""
         starts, sizes = [], []
         for m in _BPE.finditer(text):
             a, z = m.span()
-            for i in range(a, z, LONG // 2) if z - a > LONG else (a,):
+            n = self.memo[m[0]]
+            step = max(1, most // 4) if n > most else z - a  # a character has at most four tokens
+            for i in range(a, z, step):
                 starts.append(i)
-                sizes.append(self.memo[text[i : min(z, i + LONG // 2)] if z - a > LONG else m[0]])
+                sizes.append(n if step == z - a else self.memo[text[i : min(z, i + step)]])
         return starts, sizes
 
 
@@ -66,7 +68,7 @@ class Words:
     def count(self, text: str) -> int:
         return len(_WORD.findall(text))
 
-    def parts(self, text: str) -> tuple[list[int], list[int]]:
+    def parts(self, text: str, most: int = 0) -> tuple[list[int], list[int]]:
         starts = [m.start() for m in _WORD.finditer(text)]
         return starts, [1] * len(starts)
 

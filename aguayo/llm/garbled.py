@@ -63,7 +63,7 @@ def twin_pairs(long: DataFrame) -> DataFrame:
     """
     words = long.select(F.explode(F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     words = words.withColumn("letters", F.regexp_replace("word", "[^A-Za-z]", "")).filter(F.col("letters") != "")
-    plain = F.col("word").rlike(r"^\p{IsLatin}+$")
+    plain = F.col("word").rlike(r"^[\p{IsLatin}¿¡«»“”&&[^ªº]]+$")
     twin = F.max(F.when(plain, F.struct("n", "word"))).over(W.partitionBy("letters"))
     return words.withColumn("twin", twin).filter(F.col("twin").isNotNull() & (F.col("twin.word") != F.col("word"))).select("word", F.col("twin.word").alias("twin"))
 

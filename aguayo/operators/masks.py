@@ -35,24 +35,23 @@ def value_groups(df: DataFrame, fields: list[str], load: str = "load_id") -> Dat
     )
 
 
-def mask_table(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFrame:
+def mask_table(df: DataFrame, fields: list[str], load: str = "load_id", keep: bool = False) -> DataFrame:
     """Rows, values, novelty and lengths per field, mask and load: what all reports are made of.
 
-    novel are the rows whose value stands in no earlier load. It is far smaller than the input and
-    written once to the checkpoint folder, so reports that need it twice read the input once.
+    novel are the rows whose value stands in no earlier load. It is far smaller than the input;
+    ``keep`` writes it once to the checkpoint folder for reports that need it more than once.
     """
     g = value_groups(df, fields, load)
     g = g.withColumn("first_load", F.min("load_id").over(W.partitionBy("field_name", "v")))
-    return checkpointed(
-        g.groupBy("field_name", "mask", "load_id").agg(
-            F.sum("n").alias("n"),
-            F.sum(F.when(F.col("first_load") == F.col("load_id"), F.col("n")).otherwise(0)).alias("novel"),
-            F.count(F.lit(1)).alias("values"),
-            F.min("chars").alias("chars_min"),
-            F.max("chars").alias("chars_max"),
-            F.sum(F.col("chars") * F.col("n")).alias("chars_sum"),
-        )
+    out = g.groupBy("field_name", "mask", "load_id").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("first_load") == F.col("load_id"), F.col("n")).otherwise(0)).alias("novel"),
+        F.count(F.lit(1)).alias("values"),
+        F.min("chars").alias("chars_min"),
+        F.max("chars").alias("chars_max"),
+        F.sum(F.col("chars") * F.col("n")).alias("chars_sum"),
     )
+    return checkpointed(out) if keep else out
 
 
 def _field_masks(masks: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ def changes(metrics: DataFrame, missing_step: float = 0.15, length_factor: float
 
 def profile(df: DataFrame, fields: list[str], load: str = "load_id") -> DataFrame:
     """The report: load_metrics with rates, the range of values and the mask divergence."""
-    masks = mask_table(df, fields, load)
+    masks = mask_table(df, fields, load, keep=True)
     ranges = (
         df.filter(F.col(load).isNotNull())
         .select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), clean(f).alias("value")) for f in fields])))

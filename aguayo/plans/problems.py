@@ -50,7 +50,7 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_mask_violations(spark: SparkSession, d: str) -> DataFrame:
-    return mask_violations(mask_table(table(spark, d, "paper_corpus"), PROFILED))
+    return mask_violations(mask_table(table(spark, d, "paper_corpus"), PROFILED, keep=True))
 
 
 def _links(spark: SparkSession, d: str) -> list:

@@ -1,4 +1,4 @@
-"""Cutting lineage in a way that survives the loss of executors."""
+"""Cutting lineage in a way that survives the loss of executors, and work for idle cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the input has fewer parts than there are cores (one small file).
+
+    The result of the operators does not depend on it; an input of many parts is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

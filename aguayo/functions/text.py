@@ -16,6 +16,10 @@ WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 # Spellings of a missing value, in lower case.
 MISSING_WORDS = ("nan", "none", "null")
 
+_SENTINEL = f"(?i)^(?:{'|'.join(MISSING_WORDS)})$"
+_NAME = re.compile(r"\w+")
+_CLEAN = "regexp_replace(trim(regexp_replace(coalesce(`{}`, ''), r'" + WS.replace("{", "{{").replace("}", "}}") + f"+', ' ')), r'{_SENTINEL}', '')"
+_STRIP = "regexp_replace(coalesce(`{}`, ''), r'^" + WS.replace("{", "{{").replace("}", "}}") + "+|" + WS.replace("{", "{{").replace("}", "}}") + "+$', '')"
 _PY_WS = re.compile(r"\s+")
 
 
@@ -25,17 +29,22 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Edges without white space; NULL gives ''. Inner white space and sentinels stay."""
+    if isinstance(c, str) and _NAME.fullmatch(c):
+        return F.expr(_STRIP.format(c))
     return F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"^{WS}+|{WS}+$", "")
 
 
 def clean(c: Column | str) -> Column:
-    """Stripped text with inner runs of white space as one space; '' for NULL and sentinels.
+    """Text without white space at its edges, inner runs of it as one space; '' for NULL and sentinels.
 
-    The sentinel test sees the stripped value before inner runs collapse and must match
-    it whole, so ``nullx`` and ``n an`` survive.
+    A sentinel must be the whole value, so ``nullx`` and ``n an`` survive; it has no inner white
+    space, so it may be looked for after runs collapse. The value is used once in the expression,
+    nested calls do not multiply.
     """
-    s = strip(c)
-    return F.when(F.lower(s).isin(*MISSING_WORDS), F.lit("")).otherwise(F.regexp_replace(s, f"{WS}+", " "))
+    if isinstance(c, str) and _NAME.fullmatch(c):  # parsed at once: wide mappings build far faster than call by call
+        return F.expr(_CLEAN.format(c))
+    spaced = F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"{WS}+", " "))
+    return F.regexp_replace(spaced, _SENTINEL, "")
 
 
 def clean_py(v: str | None) -> str:
@@ -44,14 +53,9 @@ def clean_py(v: str | None) -> str:
     return "" if not s or s.lower() in MISSING_WORDS else _PY_WS.sub(" ", s)
 
 
-def non_empty(c: Column) -> Column:
-    """NULL in place of ''."""
-    return F.nullif(c, F.lit(""))
-
-
 def first_non_empty(*cs: Column | str) -> Column:
-    """First value that is not empty after cleaning, cleaned; '' if there is none."""
-    return F.coalesce(*[non_empty(clean(c)) for c in cs], F.lit(""))
+    """First value that is not empty after cleaning, cleaned; '' if there is none. Each value is cleaned once."""
+    return F.coalesce(F.get(F.array_remove(F.array(*[clean(c) for c in cs]), ""), F.lit(0)), F.lit(""))
 
 
 def coalesce_non_empty(preferred: Column | str, fallback: Column | str) -> Column:
@@ -64,9 +68,8 @@ def item_id(prefix: str, key: Column | str, on_empty: str = "raise") -> Column:
     The raise is a second guard only: a column that is pruned is never evaluated, so
     callers count empty keys as well (operators.checks.unique_key_metrics).
     """
-    k = clean(key)
     bad = F.raise_error(F.lit(f"empty source id for {prefix}")).cast("string") if on_empty == "raise" else F.lit("")
-    return F.when(k == "", bad).otherwise(F.concat(F.lit(prefix + ":"), k))
+    return F.coalesce(F.concat(F.lit(prefix + ":"), F.nullif(clean(key), F.lit(""))), bad)
 
 
 def prefix_of(c: Column | str, n: int = 160) -> Column:

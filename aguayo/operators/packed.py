@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, rows_out
+from ..functions.lineage import spread
 from ..functions.text import MISSING_WORDS
 
 # Characters that can separate values; a line end counts as one of them.
@@ -189,7 +190,7 @@ def unpack(sources: list[tuple[str, DataFrame, str, list[str]]], least_values: i
     Repeated rows each give their values. Other columns are not read. Empty tables give no rows.
     """
     rows = {f: df.count() for _, df, _, fields in sources for f in fields}
-    long = long_form(sources)
+    long = spread(long_form(sources))
     books = long.sparkSession.sparkContext.broadcast(value_codes(long, rows))
     schema = pa.schema([("src_table", pa.string()), ("row_id", pa.int64()), ("field_name", pa.string()), ("pos", pa.int32()), ("value_text", pa.string())])
 

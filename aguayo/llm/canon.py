@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, rows_out
+from ..functions.lineage import spread
 from ..functions.text import clean
 from .codecs import TRANSFORMS, UTF8, all_images, letter_images, odd, utf8_char, utf8_pattern
 
@@ -229,7 +230,7 @@ def map_values(df: DataFrame, terms: DataFrame, key: str, fields: list[str], fie
 
         yield from rows_out(schema, rows())
 
-    long = df.select(F.col(key).cast("long").alias("row_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), clean(f).alias("value_text")) for f in fields]))).filter(F.col("value_text") != "")
+    long = spread(df.select(key, *fields)).select(F.col(key).cast("long").alias("row_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), clean(f).alias("value_text")) for f in fields]))).filter(F.col("value_text") != "")
     labels = listed.filter("l is not null").select(F.col("f").alias("field_name"), F.col("l").alias("value_text")).distinct()
     other = long.join(F.broadcast(labels), ["field_name", "value_text"], "left_anti").select("row_id", "field_name", "value_text")
     return other.mapInArrow(run, "row_id long, field_name string, value_text string, entry_id long, how string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.arrow import columns, rows_out
-from ..functions.lineage import checkpointed
+from ..functions.lineage import checkpointed, spread
 from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, garble, letter_images, odd, sign_images, sign_pattern, utf8_char, utf8_pattern
 
 LOST = "�"
@@ -256,7 +256,7 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
         yield from rows_out(schema, rows(), 5_000)
 
     words = F.array_join(F.regexp_extract_all("value", F.lit(WORD), F.lit(0)), " ")
-    hits = long.filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
+    hits = spread(long).filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
     hits = checkpointed(hits)
     wanted = F.array(*[F.lit(i) for i in [*chosen, BY_TWIN]])
     twins = explained.filter(F.arrays_overlap("why", wanted)).groupBy("word").agg(F.min("twin").alias("twin"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, rows_out
+from ..functions.lineage import spread
 from .tokens import RANKS, tokenizer
 
 # Boundaries from the strongest to the weakest: blank line, line end, sentence, clause, comma, space.
@@ -145,5 +146,5 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap:
         yield from rows_out(schema, rows(), 2_000)
 
     # a token has at least one byte, so shorter texts cannot exceed the limit
-    longer = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t") > limit)
+    longer = spread(df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t") > limit))
     return longer.mapInArrow(run, f"`{key}` long, piece int, n_tokens int, n_repeated int, start_char long, end_char long, piece_text string")

@@ -94,6 +94,35 @@ def _p4_sql() -> str:
         SELECT load_id, field_name, 'novel' AS kind FROM x WHERE lb IS NOT NULL AND field_name <> 'description' AND present > 0 AND novel >= 0.25 * present"""
 
 
+def _masks_sql() -> str:
+    """CTEs long (with mask) and by_mask (per field, load and mask)."""
+    m = r"regexp_replace(regexp_replace(regexp_replace(value, '[\p{Ll}\p{Lo}\p{Lm}\p{M}]+', 'a', 'g'), '[\p{Lu}\p{Lt}]+', 'A', 'g'), '\p{N}+', '9', 'g')"
+    return f"""raw AS ({_long_sql()}), shaped AS (SELECT *, {m} AS m FROM raw),
+        long AS (SELECT *, CASE WHEN length(value) <= 80 THEN m ELSE array_to_string(list_sort(list_distinct(string_split(m, ''))), '') END AS mask FROM shaped),
+        by_mask AS (SELECT field_name, load_id, mask, count(*) AS n FROM long WHERE mask <> '' GROUP BY 1, 2, 3),
+        f AS (SELECT field_name, sum(n) AS field_n FROM by_mask GROUP BY 1), fm AS (SELECT field_name, mask, sum(n)::BIGINT AS mask_n FROM by_mask GROUP BY 1, 2)"""
+
+
+def _violations_sql() -> str:
+    return f"WITH {_masks_sql()} SELECT load_id, field_name, mask, n, mask_n FROM by_mask JOIN fm USING (field_name, mask) JOIN f USING (field_name) WHERE mask_n < 0.001 * field_n"
+
+
+def _profile_sql() -> str:
+    h = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
+    return f"""WITH {_masks_sql()}, first AS (SELECT field_name, value, min(load_id) AS first_load FROM long WHERE value <> '' GROUP BY 1, 2),
+        t AS (SELECT field_name, load_id, sum(n) AS total, lead(load_id) OVER (PARTITION BY field_name ORDER BY load_id) AS next_load FROM by_mask GROUP BY 1, 2),
+        pq AS (SELECT field_name, own_load, mask, sum(p) AS p, sum(q) AS q FROM (SELECT field_name, load_id AS own_load, mask, n / total AS p, 0 AS q FROM by_mask JOIN t USING (field_name, load_id)
+            UNION ALL SELECT field_name, next_load, mask, 0, n / total FROM by_mask JOIN t USING (field_name, load_id) WHERE next_load IS NOT NULL) GROUP BY 1, 2, 3),
+        js AS (SELECT field_name, own_load AS load_id, CASE WHEN sum(q) > 0 THEN round(sum(0.5 * ({h("p")}) + 0.5 * ({h("q")})), 9) END AS mask_divergence FROM pq GROUP BY 1, 2),
+        d AS (SELECT field_name, load_id, count(CASE WHEN mask_n >= 0.01 * field_n THEN 1 END) AS dominant_masks, coalesce(sum(CASE WHEN mask_n < 0.001 * field_n THEN n END), 0)::BIGINT AS violations
+            FROM by_mask JOIN fm USING (field_name, mask) JOIN f USING (field_name) GROUP BY 1, 2),
+        g AS (SELECT load_id, field_name, count(*) AS rows_total, count(CASE WHEN value = '' THEN 1 END) AS missing, count(DISTINCT nullif(value, '')) AS distinct_values,
+            min(length(nullif(value, ''))) AS chars_min, max(length(nullif(value, ''))) AS chars_max, coalesce(sum(length(value)), 0)::BIGINT AS chars_sum, min(nullif(value, '')) AS value_min,
+            max(nullif(value, '')) AS value_max, count(CASE WHEN first_load = load_id THEN 1 END) AS novel_rows FROM long LEFT JOIN first USING (field_name, value) GROUP BY 1, 2)
+        SELECT load_id, field_name, rows_total, missing, missing / rows_total AS missing_rate, distinct_values, chars_min, chars_max, chars_sum, value_min, value_max, novel_rows,
+            coalesce(dominant_masks, 0) AS dominant_masks, coalesce(violations, 0) AS violations, mask_divergence FROM g LEFT JOIN d USING (field_name, load_id) LEFT JOIN js USING (field_name, load_id)"""
+
+
 def _p6_sql() -> str:
     links = [("met_principal_enriched_v1", "id_fuente", "met_inventario_base", "id_objeto"), ("cma_principal_enriched_v1", "id_objeto", "cma_andes_textiles_candidates", "source_id")]
     parts = []
@@ -109,6 +138,8 @@ SQL = {
     "p2_found": _p2_sql(),
     "p2_diff_counts": f"SELECT diff, count(*) AS n FROM ({_p2_sql()}) GROUP BY 1",
     "p4_found": _p4_sql(),
+    "p4_profile": _profile_sql(),
+    "p4_mask_violations": _violations_sql(),
     "p6_found": _p6_sql(),
     "p6_orphan_counts": f"SELECT src_table, period, kind, count(*) AS n FROM ({_p6_sql()}) GROUP BY 1, 2, 3",
 }

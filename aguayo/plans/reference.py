@@ -72,11 +72,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str, name: str = ""):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        QUERIES[name or f.__name__] = f
+        SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -102,12 +101,12 @@ def normalize_key_strip(spark, d):
     return table(spark, d, "met_principal_enriched_v1").select("row_id", strip("id_fuente").alias("key"))
 
 
-@query(f"SELECT row_id, {first_non_empty_sql('culture', 'culture_original')} AS culture FROM paper_corpus")
+@query(f"SELECT row_id, {first_non_empty_sql('culture', 'culture_original')} AS culture FROM paper_corpus", "coalesce_non_empty")
 def coalesce_columns(spark, d):
     return table(spark, d, "paper_corpus").select("row_id", coalesce_non_empty("culture", "culture_original").alias("culture"))
 
 
-@query(f"SELECT row_id, {first_non_empty_sql('material', 'technique', 'object_type')} AS value FROM paper_corpus")
+@query(f"SELECT row_id, {first_non_empty_sql('material', 'technique', 'object_type')} AS value FROM paper_corpus", "first_non_empty")
 def first_value(spark, d):
     return table(spark, d, "paper_corpus").select("row_id", first_non_empty("material", "technique", "object_type").alias("value"))
 
@@ -119,7 +118,8 @@ def build_item_id(spark, d):
 
 @query(
     r"""SELECT row_id, coalesce(regexp_matches(coalesce(processing_timestamp, ''), '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$')
-        AND try_cast(regexp_replace(processing_timestamp, 'Z$', '+00:00') AS TIMESTAMPTZ) IS NOT NULL, false) AS valid FROM paper_corpus"""
+        AND try_cast(regexp_replace(processing_timestamp, 'Z$', '+00:00') AS TIMESTAMPTZ) IS NOT NULL, false) AS valid FROM paper_corpus""",
+    "iso_timestamp_valid",
 )
 def iso_timestamps(spark, d):
     return table(spark, d, "paper_corpus").select("row_id", F.coalesce(iso_timestamp_valid("processing_timestamp"), F.lit(False)).alias("valid"))

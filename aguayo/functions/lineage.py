@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once to the folder of spark.checkpoint.dir that all executors share.
 
-    Only where the session names no folder, as in local tests, a temporary one is set.
+    Only in local mode, as in tests, a temporary folder is set where the session names none; on a
+    cluster that raises, because a folder of one machine would not survive it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+FEW_PARTS = 64  # an input of more parts is large enough to stay where it is read
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where the input has fewer parts than there are cores (one small file).
+    """The rows over more cores, where a small input has fewer parts than there are cores (one file, say).
 
-    The result of the operators does not depend on it; an input of many parts is left as it is.
+    Results do not depend on it. Select the needed columns before; a large input is never moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, FEW_PARTS)) if parts < min(cores, FEW_PARTS) else df

@@ -180,7 +180,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
     n_docs = docs.count()
     schema = pa.schema([("gram", pa.string()), ("n", pa.int64()), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
     spark = docs.sparkSession
-    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") > 2 * least))
+    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") >= 2 * least - 1))
     out = None
     for block in _blocks(items, item, text):
         shared = spark.sparkContext.broadcast(Index(block))

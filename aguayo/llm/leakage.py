@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from ..functions.arrow import columns, rows_out
 from ..functions.lineage import checkpointed, spread
 
 N = 5  # words of an n-gram
+WHOLE = 0.8  # share of an item's words from which a stretch is the item itself, never a formula
 ITEM_BYTES = 16_000_000  # text of the items in one broadcast; more items are taken in blocks of this size
 
 _MARKS = re.compile("[̀-ͯ­​-‍﻿]+")
@@ -168,48 +169,57 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
     """Documents that hold a passage of an item: key, item, first_word, last_word (from 0), n_words.
 
     A stretch counts with its item words from the first to the last that agree; at least
-    ``least`` of them, leaving out those covered only by standing formulas (n-grams in more than
-    ``formula_share`` of all documents and in at least ``formula_least``), and ``agreeing`` of them word for word or nearly so. One
-    row per document, item and stretch. The set of n-grams is broadcast, documents are scanned
-    once without a shuffle; only the counts of found n-grams, added up in each task before, are
-    shuffled. Larger sets of items are taken block by block. NULL and empty texts hold nothing;
+    ``least`` of them, leaving out those covered only by standing formulas, and ``agreeing`` of them word for word or nearly so. One
+    row per document, item and stretch. A standing formula is a stretch with the same ends (one word
+    more or less) in more than ``formula_share`` of all distinct texts and in at least
+    ``formula_least`` of them. So neither copies of a text make a formula, nor a passage whose ends
+    differ from text to text; nor does a stretch of ``least`` words that is most of an item. The set
+    of n-grams is broadcast, documents are scanned once without a shuffle; only text hashes and the
+    found stretches are shuffled. Larger sets of items are taken block by block. NULL and empty texts hold nothing;
     repeated documents each give their rows; no items or no documents give no rows.
     """
     if key == item:
         raise ValueError("documents and items need keys of different names")
-    n_docs = docs.count()
-    schema = pa.schema([("gram", pa.string()), ("n", pa.int64()), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
+    n_texts = docs.select(F.xxhash64(F.col(text).cast("string"))).distinct().count()
+    schema = pa.schema([("copy", pa.int64()), ("seen", pa.list_(pa.string())), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
     spark = docs.sparkSession
-    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") >= 2 * least - 1))
+    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") >= 2 * least - 1)).withColumn("copy", F.xxhash64("t"))
     out = None
     for block in _blocks(items, item, text):
         shared = spark.sparkContext.broadcast(Index(block))
 
         def scan(batches, shared=shared):
-            index, counts = shared.value, Counter()
+            index = shared.value
 
             def rows():
                 for b in batches:
-                    for i, t in zip(*columns(b, "k", "t")):
+                    for i, t, copy in zip(*columns(b, "k", "t", "copy")):
                         w = words(t)
                         hits = index.hits(w)
                         if not hits:
                             continue
-                        counts.update({g for _, g, _ in hits})
-                        for k, a, z, agree, low, high in index.stretches(w, hits, least):
+                        part, whole = set(), set()
+                        for k, a, z, agree, low, high in index.stretches(w, hits, N):
                             v = index.items[k][1]
-                            yield None, None, i, index.items[k][0], a, z, agree, low, high, [" ".join(v[q : q + N]) for q in range(low, high - N + 2)]
-                for g, c in counts.items():  # as many as the items have n-grams at most
-                    yield g, c, None, None, None, None, None, None, None, None
+                            n = high - low + 1
+                            (whole if n >= max(least, WHOLE * len(v)) else part).add(" ".join(v[low : high + 1]))
+                            if n >= least:
+                                yield None, None, i, index.items[k][0], a, z, agree, low, high, [" ".join(v[q : q + N]) for q in range(low, high - N + 2)]
+                        if part - whole:
+                            yield copy, sorted(part - whole), None, None, None, None, None, None, None, None
 
             yield from rows_out(schema, rows(), 2_000)
 
-        part = source.mapInArrow(scan, f"gram string, n long, `{key}` long, `{item}` long, first_word int, last_word int, agree array<int>, low int, high int, grams array<string>")
+        part = source.mapInArrow(scan, f"copy long, seen array<string>, `{key}` long, `{item}` long, first_word int, last_word int, agree array<int>, low int, high int, grams array<string>")
         out = part if out is None else out.unionByName(part)
     found = checkpointed(out)
-    # standing formulas: at most 1 / formula_share n-grams per window of a document, and only n-grams of the items
-    formulas = found.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).filter((F.col("n") > formula_share * n_docs) & (F.col("n") >= formula_least)).select("gram")
-    hits = found.filter("gram is null").drop("gram", "n").withColumn("hit", F.monotonically_increasing_id())
+    # stretches counted once a text; each also counts for those that lack its first word, its last one or both
+    seen = found.filter("copy is not null").select("copy", F.explode("seen").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).select(F.split("s", " ").alias("w"), "n")
+    ends = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a in (0, 1) for z in (0, 1)])
+    cores = seen.withColumn("e", F.explode(ends)).filter(F.size("w") - F.col("e.a") - F.col("e.z") >= N)
+    cores = cores.groupBy(F.expr("slice(w, e.a + 1, size(w) - e.a - e.z)").alias("w")).agg(F.sum("n").alias("n")).filter((F.col("n") > formula_share * n_texts) & (F.col("n") >= formula_least))
+    formulas = cores.select(F.explode(F.expr(f"transform(sequence(1, size(w) - {N - 1}), q -> array_join(slice(w, q, {N}), ' '))")).alias("gram")).distinct()
+    hits = found.filter("copy is null").drop("copy", "seen").withColumn("hit", F.monotonically_increasing_id())
     in_formula = hits.select("hit", F.posexplode("grams").alias("q", "gram")).join(formulas, "gram", "left_semi").groupBy("hit").agg(F.collect_set("q").alias("q"))
     covered = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda q: F.sequence(q, q + N - 1))))
     own = hits.join(in_formula, "hit", "left").withColumn("formula_words", F.coalesce(F.size(covered(F.col("q"))), F.lit(0)))

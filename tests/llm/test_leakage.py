@@ -60,6 +60,25 @@ def test_standing_formula_is_no_leak(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1000, 2), (1001, 1)}
 
 
+def test_repeated_leaks_are_no_formulas(spark):
+    r = random.Random(6)
+    formula = " ".join(f"formula{i}" for i in range(9))
+    items = [(i, f"{sentence(r, 30)} {formula} {sentence(r, 21)}") for i in range(4)]
+    v = [t.split() for _, t in items]
+    copied = f"{sentence(r, 20)} {' '.join(v[0][3:28])} {sentence(r, 20)}"
+    docs = [(d, copied) for d in range(200)]  # one text on a third of all rows
+    docs += [(1000 + d, f"{sentence(r, 30)} {items[1][1]} {sentence(r, 9)}") for d in range(60)]  # a whole item in many texts
+    want = {(d, 0) for d in range(200)} | {(1000 + d, 1) for d in range(60)}
+    for d in range(40):  # another part of an item in each text
+        a = r.randrange(0, 12)
+        docs.append((2000 + d, f"{sentence(r, 30)} {' '.join(v[2][a : a + 16 + d % 3])} {sentence(r, 9)}"))
+        want.add((2000 + d, 2))
+    docs += [(3000 + d, f"{sentence(r, 40)} {' '.join(v[3][24 : 39 + d % 2])} {sentence(r, 9)}") for d in range(20)]  # a short quotation with the formula
+    docs += [(4000 + d, f"{sentence(r, 40)} {formula} {sentence(r, 9)}") for d in range(280)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), "doc_id", "item_id")
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
 def test_words_and_their_places():
     for t in ["Paño  «TEÑIDO»,\nde teji-\n do", "cami&oacute;n &amp; x", "época­ s", "AΣ İx", "ré-\ncto &nope; &copy 20"]:
         spans = word_spans(t)

@@ -117,18 +117,14 @@ class Mapping:
         for r in self.utf8:
             t = bytes_to_chars(r)
             parts.append(f"[{esc(t[0xC2:0xF0])}][{esc(t[0x80:0xC0])}]")
-        upper, inner, other = set(), set(), set()
+        inner, other = set(), set()
         for r in self.single:
             for c in letter_images(r):
-                if c.isalpha() and c.isupper() and "LATIN" in unicodedata.name(c, ""):
-                    upper.add(c)
-                elif unicodedata.category(c)[0] == "P" and c != "·":
+                if unicodedata.category(c)[0] == "P" and c != "·":
                     inner.add(c)
                 else:
                     other.add(c)
             other.update(sign_images(r))
-        if upper:
-            parts.append(f"(?<![\\p{{Lu}}\\p{{M}}])[{esc(upper)}]|[{esc(upper)}](?=\\p{{Ll}})")
         if inner:
             parts.append(f"(?<=\\p{{L}})[{esc(inner)}](?=\\p{{L}})")
         if other:

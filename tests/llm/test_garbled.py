@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from aguayo.llm.codecs import TRANSFORMS, garble
-from aguayo.llm.garbled import Mapping, aligned_runs, explanations, find_garbled
+from aguayo.llm.garbled import _WORD, WORD, Mapping, aligned_runs, explanations, find_garbled
 
 NAMES = ["Másñimay", "Sullquincó Tardío", "Vilñuquépé", "niños danzantes", "máscaras radiadas", "técnica de tapiz", "anotó «ver reverso»", "algodão e lã", "coleção de fios", "mãos hábeis", "ángulo de 48°", "diámetro varía", "según la ficha n.º 9"]
 CLEAN = ["Étoffe façonnée", "Âncora bordada", "MANTA DE LÃ", "«LÃ CRUA, 2ª MÃO»", "Ångpå-vävnad", "Inscripción «ΑΡΓΟΣ»", "шерсть", "£4 ½", "±2 cm", "Fila A→B, 45° · sin", "Prix d’achat : 3 £, brûlé à gauche", "Vilñuquépé", "“São Lôr”", "", None, "TÚNICA DE CAÑÓN", "Densidad ≈ 12 (Δ < 1)"]
@@ -48,6 +50,24 @@ def test_clean_texts_stay():
     assert m.restore("MÃƒÂ¡sÃƒÂ±imay") == (True, "Másñimay")
 
 
+def test_filter_lets_through_what_words_tell(spark):
+    m = Mapping(range(len(TRANSFORMS)), "áéíóúñüçãõàâêÁÉÍÓÚÑÜÇÃÕÀÂÊ")
+    words = {g for t in "ALGODÓN SEÑOR TAPÍZ TÚNICA CAÑÓN ÁNGULO algodón señor Útil coleção MÃO".split() for w, r in TRANSFORMS if (g := garble(t, w, r)) and g != t}
+    for m in (m, *(Mapping([i], "".join(m.alphabet)) for i in range(len(TRANSFORMS)))):
+        told = {w for w in words if any(map(m.word, _WORD.findall(w)))}
+        df = spark.createDataFrame([(w,) for w in sorted(told)] or [("",)], "value string")
+        joined = F.array_join(F.regexp_extract_all("value", F.lit(WORD), F.lit(0)), " ")
+        assert not told or df.filter(~joined.rlike(m.triggers())).collect() == []
+
+
+def test_words_in_capitals(spark):
+    rows = [t for t in ("ALGODÓN", "TÓRTOLA", "CORDÓN", "JERGÓN", "SEÑOR") for _ in range(5)]
+    dirty = [garble(t, "cp1252", "cp850") for t in ("ALGODÓN", "TÓRTOLA", "CORDÓN", "JERGÓN")]
+    assert dirty[0] == "ALGODËN"
+    df = spark.createDataFrame([*enumerate(rows), *enumerate(dirty, 100)], "row_id long, title string")
+    assert {r.row_id: r.restored for r in find_garbled(df, "row_id", ["title"]).collect()} == dict(enumerate(("ALGODÓN", "TÓRTOLA", "CORDÓN", "JERGÓN"), 100))
+
+
 def test_empty_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ascii")], "row_id long, title string")
     assert find_garbled(df, "row_id", ["title"]).count() == 0 and find_garbled(df.limit(0), "row_id", ["title"]).count() == 0

@@ -23,6 +23,7 @@ TERMS = 100_000  # most entries of a reference list; a longer one is refused, no
 QUALIFIERS = frozenset("posiblemente probablemente prob posible quiza ca circa tipo estilo atribuido atribuida revisar verificar technique loom two faces possibly probably type style attributed to".split())
 # Words that carry no name.
 SMALL_WORDS = frozenset("de del la el en por a of the".split())
+SIMILAR = 0.6  # least share of common words in all words of a value and a name
 ANY = "�"  # a character that is lost or was read wrongly; it agrees with every character
 
 _SPACES = re.compile(r"[\s_\-–—/|]+")
@@ -87,6 +88,15 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[lb], most + 1)
 
 
+def near_word(a: str, b: str) -> bool:
+    """Equal but for light spelling: one edit from four letters, two from eight; a beginning with a full stop stands for its word."""
+    if len(a) > 3 and a.endswith(".") and b.startswith(a[:-1]):
+        return True
+    a = a.rstrip(".,")
+    most = 0 if min(len(a), len(b)) < 4 else 1 if min(len(a), len(b)) < 8 else 2
+    return edits(a, b, most) <= most
+
+
 def allowance(n: int) -> int:
     """Most edits between a value and a name of n characters."""
     return 1 if n <= 4 else 2 if n <= 12 else 3
@@ -103,8 +113,16 @@ class Terms:
         for n, e in self.by_name.items():
             self.automaton.add_word(f" {n} ", (n, e))
         self.automaton.make_automaton()
+        self.sets = [(n.split(), n, e) for n, e in sorted(self.by_name.items()) if " " in n]
+        self.with_word: dict[str, list[int]] = defaultdict(list)  # places in sets by word
+        for k, (ws, _, _) in enumerate(self.sets):
+            for w in dict.fromkeys(ws):
+                self.with_word[w].append(k)
+        self.longest = max((len(ws) for ws, _, _ in self.sets), default=0)
         self.alphabet = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
         self.bags = np.array([self._bag(n) for n, _ in self.names], dtype=np.int16).reshape(len(self.names), len(self.alphabet) + 1)
+        self.words = list(self.with_word)
+        self.word_bags = np.array([self._bag(w) for w in self.words], dtype=np.int16).reshape(len(self.words), len(self.alphabet) + 1)
 
     def _bag(self, t: str) -> list[int]:
         v = [0] * (len(self.alphabet) + 1)
@@ -157,6 +175,39 @@ class Terms:
                 best = (d, e, n)
         return best
 
+    def overlapping(self, words: list[str]) -> tuple[float, int, str] | None:
+        """(similarity, entry, name) of the name of several words that shares most words with the value.
+
+        Similarity is the number of shared words, light spelling aside, over that of all words of
+        both without small ones; at least SIMILAR. Ties go to the smaller entry.
+        """
+        words = list(dict.fromkeys(w for w in words if w.strip(".," + ANY) and w.rstrip(".,") not in SMALL_WORDS))
+        if len(words) < 2 or self.longest < SIMILAR * len(words):
+            return None  # no name has words enough for the value
+        own = {w: self._alike(w) for w in words}
+        best: tuple[float, int, str] | None = None
+        for k in sorted({k for vs in own.values() for v in vs for k in self.with_word[v]}):
+            ws, n, e = self.sets[k]
+            ws = [v for v in dict.fromkeys(ws) if v not in SMALL_WORDS]
+            left, shared = list(words), 0
+            for v in ws:
+                w = next((w for w in left if w == v), None) or next((w for w in left if v in own[w]), None)
+                if w is not None:
+                    left.remove(w)
+                    shared += 1
+            score = shared / (len(words) + len(ws) - shared)
+            if shared > 1 and score >= SIMILAR and (best is None or (-score, e) < (-best[0], best[1])):
+                best = (score, e, n)
+        return best
+
+    def _alike(self, word: str) -> set[str]:
+        """The words of names that the word may stand for."""
+        if word.endswith("."):
+            return {v for v in self.words if near_word(word, v)}
+        diff = self.word_bags - np.array(self._bag(word), dtype=np.int16)
+        least = np.maximum(np.maximum(diff, 0).sum(1) - word.count(ANY), np.maximum(-diff, 0).sum(1))
+        return {self.words[i] for i in np.flatnonzero(least <= 2) if near_word(word, self.words[i])}
+
     @staticmethod
     def _abbreviated(words: list[str], name: list[str], most: int) -> int:
         if len(words) != len(name):
@@ -186,8 +237,10 @@ class Terms:
             cand = None
             if near is not None:
                 cand = ((near[0], 0), near[1], "similar")
-            elif found and sum(len(n) for _, _, n, _ in found) * 2 >= len(" ".join(bare)):
-                cand = ((9, 1), found[0][3], "mention")
+            elif (shared := self.overlapping(core)) is not None:
+                cand = ((9, -shared[0]), shared[1], "similar")
+            elif found:
+                cand = ((10, -len(found[0][2])), found[0][3], "mention")
             if cand and (best is None or cand[0] < best[0]):
                 best = cand
         return (best[1], best[2]) if best else (0, "none")
@@ -199,8 +252,9 @@ def map_values(df: DataFrame, terms: DataFrame, key: str, fields: list[str], fie
     Values equal to a label after cleaning are left out, missing ones too. entry_id is the entry
     meant, 0 if the list has none; ``how`` tells how it was found. An automaton over labels and
     aliases finds embedded mentions (whole words, longest first, without overlap); if words
-    remain that no qualifier explains, the whole value goes to token-set similarity, and only
-    without a close name the mention stands if it is at least half of the value. The reference
+    remain that no qualifier explains, the whole value is compared first: with names of nearly the
+    same letters (in any order of words), then by token-set similarity (words in common, light
+    spelling aside, over all words); without a close name the longest mention stands. The reference
     list is broadcast up to TERMS entries, a longer one raises ValueError. No shuffle: each task
     matches a value once and remembers it. NULL labels and aliases are ignored; repeated rows come
     out each; without terms every value has entry 0; an empty table gives no rows.

@@ -16,6 +16,12 @@ def test_cases():
     assert {v: t.match(v)[0] for v in CASES} == CASES
 
 
+def test_mentions_in_long_values_and_sets_of_words():
+    t = Terms([*ENTRIES, (9, "Paracas", None), (10, "tapiz ranurado", "slit tapestry"), (11, "tapiz", None)])
+    want = {"Paracas periodo Horizonte Temprano costa sur": 9, "fragmento hallado en la tumba con un gorro pequeño": 7, "tapiz fino ranurado": 10, "ranuardo fino, tapiz": 10, "Másñimay muy Tardío": 2, "tapiz fino": 11, "manta fina ranurada": 0}
+    assert {v: t.match(v)[0] for v in want} == want
+
+
 def test_edits():
     assert [edits(a, b, 3) for a, b in [("abc", "abc"), ("abc", "acb"), ("abc", "abcd"), ("a�c", "abc"), ("abc", "xyz"), ("", "abcd")]] == [0, 1, 1, 0, 3, 4]
     assert fold("  «Raczóbor_Tardío» *") == "raczobor tardio"

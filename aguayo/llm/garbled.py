@@ -15,11 +15,13 @@ from ..functions.lineage import checkpointed, spread
 from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, garble, letter_images, odd, sign_images, sign_pattern, utf8_char, utf8_pattern
 
 LOST = "�"
+BY_RUNS = -2  # in place of a transformation: runs learned as they are
 BY_TWIN = -1  # in place of a transformation: lost characters that the twin still has
 # a word with at least one character beyond ASCII; both engines' syntax
 WORD = r"[A-Za-z]*+[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*"
 _WORD = re.compile("[A-Za-z]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
 _RUNS = re.compile("[^\x00-\x7f]+")
+_FOREIGN = re.compile("(?:GREEK|CYRILLIC|HEBREW|ARABIC|ARMENIAN|GEORGIAN|THAI) ")
 _CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")  # control characters that no text has (85 is white space)
 _OPEN, _CLOSE = "«“‘", "»”’"
 
@@ -55,22 +57,49 @@ def explanations(dirty: str, clean: str) -> list[int]:
     return [i for i, (w, r) in enumerate(TRANSFORMS) if explains(w, r)]
 
 
-def twin_pairs(long: DataFrame) -> DataFrame:
+def strange(word: str, run: str) -> bool:
+    """Whether a run is no likely part of a word: no letters, another script, small ones in capitals or capitals after small letters."""
+    if not run.isalpha() or any("LATIN" not in unicodedata.name(c, "") for c in run):
+        return True
+    rest = "".join(re.findall("[A-Za-z]", word))
+    return len(rest) > 1 and (run.islower() and rest.isupper() or run.isupper() and rest.islower() and not word.startswith(run))
+
+
+def learnable(dirty: str, clean: str) -> list[tuple[str, str, bool]]:
+    """(run, letters in its place, strange) of a word that no listed encodings explain; [] if its runs differ in more than letters lost to other characters."""
+    out = []
+    for g, c in aligned_runs(dirty, clean):
+        while g and c and g[0] == c[0]:
+            g, c = g[1:], c[1:]
+        while g and c and g[-1] == c[-1]:
+            g, c = g[:-1], c[:-1]
+        if not g or not c.isalpha() or LOST in g or any(unicodedata.combining(x) for x in g):
+            return []
+        out.append((g, c, strange(dirty, g)))
+    return out if len(re.findall("[A-Za-z]", dirty)) > 1 else []
+
+
+def counted_words(long: DataFrame) -> DataFrame:
+    """(word, n, letters) of the words beyond ASCII that have ASCII letters."""
+    words = long.select(F.explode(F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.withColumn("letters", F.regexp_replace("word", "[^A-Za-z]", "")).filter(F.col("letters") != "")
+
+
+def twin_pairs(words: DataFrame) -> DataFrame:
     """(word, twins): every word, with the most frequent plain word of the same ASCII letters.
 
     Words are counted first, so a hot word is one row; each word meets one twin, never all words
     of its group.
     """
-    words = long.select(F.explode(F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.withColumn("letters", F.regexp_replace("word", "[^A-Za-z]", "")).filter(F.col("letters") != "")
     plain = F.col("word").rlike(r"^[\p{IsLatin}¿¡«»“”&&[^ªº]]+$")
     twin = F.max(F.when(plain, F.struct("n", "word"))).over(W.partitionBy("letters"))
     return words.withColumn("twin", twin).filter(F.col("twin").isNotNull() & (F.col("twin.word") != F.col("word"))).select("word", F.col("twin.word").alias("twin"))
 
 
-def explained_words(long: DataFrame) -> DataFrame:
-    """(word, twin, why): words that a transformation of their twin explains, with the indexes in ``why``."""
-    schema = pa.schema([("word", pa.string()), ("twin", pa.string()), ("why", pa.list_(pa.int32()))])
+def explained_words(words: DataFrame) -> DataFrame:
+    """(word, twin, why, runs): words that a transformation of their twin explains, with the indexes in ``why``; or with the ``runs`` that none explains."""
+    run = pa.struct([("g", pa.string()), ("c", pa.string()), ("strange", pa.bool_())])
+    schema = pa.schema([("word", pa.string()), ("twin", pa.string()), ("why", pa.list_(pa.int32())), ("runs", pa.list_(run))])
 
     def explain(batches):
         def rows():
@@ -78,15 +107,42 @@ def explained_words(long: DataFrame) -> DataFrame:
                 for w, t in zip(*columns(b, "word", "twin")):
                     why = explanations(w, t)
                     if why:
-                        yield w, t, why
+                        yield w, t, why, []
                     else:  # the rarer of the two may be the clean one
                         why = explanations(t, w)
-                        if why:
-                            yield t, w, why
+                        runs = [{"g": g, "c": c, "strange": s} for g, c, s in learnable(w, t)]
+                        if why:  # or the other way round, by the runs: see settled
+                            yield t, w, why, runs
+                        elif runs:
+                            yield w, t, [], runs
 
         yield from rows_out(schema, rows())
 
-    return twin_pairs(long).mapInArrow(explain, "word string, twin string, why array<int>")
+    return twin_pairs(words).mapInArrow(explain, "word string, twin string, why array<int>, runs array<struct<g:string,c:string,strange:boolean>>")
+
+
+def learned_runs(explained: DataFrame, words: DataFrame, support: int) -> list[tuple[str, str, bool]]:
+    """(run, letters, strange) seen in at least ``support`` distinct words.
+
+    A run that may stand in a word as it is (hiló, hilé) must be explained so in most of all
+    distinct words that hold it.
+    """
+    rarer = F.when(F.size("why") > 0, F.col("twin")).otherwise(F.col("word")).alias("word")
+    runs = explained.select(rarer, F.inline("runs")).groupBy("g", "c", "strange").agg(F.count_distinct("word").alias("n")).filter(F.col("n") >= support).collect()
+    likely = sorted({r.g for r in runs if not r.strange})
+    holding = dict(zip(likely, words.agg(*[F.sum(F.col("word").contains(g).cast("long")) for g in likely]).first())) if likely else {}
+    return [(r.g, r.c, r.strange) for r in sorted(runs, key=lambda r: (-r.n, r.g, r.c)) if r.strange or 2 * r.n > holding[r.g]]
+
+
+def settled(explained: DataFrame, learned: list[tuple[str, str, bool]]) -> DataFrame:
+    """(word, twin, why): where encodings say that the frequent word is garbled, but learned runs that the rare one is, the runs decide."""
+    known = [f"{g}\n{c}\n{str(s).lower()}" for g, c, s in learned]
+    is_known = lambda x: F.concat_ws("\n", x["g"], x["c"], x["strange"].cast("string")).isin(known)
+    by_runs = (F.size("runs") > 0) & F.forall("runs", is_known) if known else F.lit(False)
+    turn = F.col("by_runs") & (F.size("why") > 0)
+    rows = explained.withColumn("by_runs", by_runs).filter(F.col("by_runs") | (F.size("why") > 0))
+    why = F.when(F.col("by_runs"), F.array(F.lit(BY_RUNS))).otherwise(F.col("why"))
+    return rows.select(F.when(turn, F.col("twin")).otherwise(F.col("word")).alias("word"), F.when(turn, F.col("word")).otherwise(F.col("twin")).alias("twin"), why.alias("why"))
 
 
 def choose_transforms(sets: list[tuple[list[int], int]], support: int) -> list[int]:
@@ -105,7 +161,12 @@ def choose_transforms(sets: list[tuple[list[int], int]], support: int) -> list[i
 class Mapping:
     """The learned transformations, ready to be applied to a text."""
 
-    def __init__(self, chosen: list[int], alphabet: str = ""):
+    def __init__(self, chosen: list[int], alphabet: str = "", learned: list[tuple[str, str, bool]] = ()):
+        self.runs = {g for g, _, _ in learned}
+        # signs and other scripts between letters: restored without a twin too
+        self.signs = {g: c for g, c, _ in reversed(learned) if all(unicodedata.category(x)[0] == "S" or x.isalpha() and _FOREIGN.match(unicodedata.name(x, "")) for x in g)}
+        signs = "|".join(map(re.escape, sorted(self.signs, key=lambda g: (-len(g), g))))
+        self.between = re.compile(f"(?<=[a-zA-Z])(?:{signs})(?=[a-zA-Z])") if signs else None
         self.alphabet = frozenset(alphabet)
         self.utf8 = [r for w, r in (TRANSFORMS[i] for i in chosen) if w == UTF8]
         self.single = [r for w, r in (TRANSFORMS[i] for i in chosen) if w == SINGLE]
@@ -127,6 +188,7 @@ class Mapping:
             other.update(sign_images(r))
         if inner:
             parts.append(f"(?<=\\p{{L}})[{esc(inner)}](?=\\p{{L}})")
+        other.update(g[0] for g in self.runs)
         if other:
             parts.append(f"[{esc(other)}]")
         return "(?=[\\x{80}-\\x{10FFFF}])(?:" + "|".join(parts) + ")"
@@ -135,6 +197,10 @@ class Mapping:
         """0 for a word that holds nothing, 1 for one that may be garbled in its text, 2 for one that only a twin can tell."""
         if LOST in word or _CONTROLS.search(word) or any(self._utf8(word, r) is not None for r in self.utf8) or any(odd(word, letter_images(r)) for r in self.single):
             return 1
+        if self.between and self.between.search(word):
+            return 1
+        if self.held(word):
+            return 2
         for r in self.single:
             images = letter_images(r)
             for i, c in enumerate(word):
@@ -142,6 +208,10 @@ class Mapping:
                     return 2
         return 0
 
+    def held(self, word: str) -> bool:
+        """Whether the word holds a learned run."""
+        return any(g in word for g in self.runs)
+
     def _utf8(self, text: str, read: str) -> str | None:
         """The text with all sequences of the transformation read right; None if there is none."""
         found = []
@@ -194,6 +264,8 @@ class Mapping:
                         best, fewest = x, left
             if best is not None:
                 text, garbled = best, True
+        if self.between and self.between.search(text):
+            garbled = True  # restored word by word, by the twin if there is one
         return garbled or LOST in text or _CONTROLS.search(text) is not None, text
 
     def doubtful(self, text: str) -> list[str]:
@@ -207,7 +279,8 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
     1. Words beyond ASCII are counted; words with the same ASCII letters meet their most frequent
        plain twin, and the runs between the letters are aligned.
     2. Transformations (an encoding written, another read) that explain the most aligned runs are
-       kept, each with at least ``support`` distinct words of its own.
+       kept, each with at least ``support`` distinct words of its own. Runs that no listed pair of
+       encodings explains are learned as they are, by the same support.
     3. They are applied to every value that holds one of their characters. A word that looks right
        in itself counts only if its own twin explains it. A lost character (U+FFFD) always counts;
        it is restored where the twin of its word has one character in its place, else it stays.
@@ -216,13 +289,16 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
     """
     long = df.select(F.col(key).cast("long").alias("row_id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])))
     beyond = long.filter(F.col("value").rlike(r"[\x{80}-\x{10FFFF}]"))
-    explained = checkpointed(explained_words(beyond))
+    words = checkpointed(counted_words(beyond))
+    explained = checkpointed(explained_words(words))
+    learned = learned_runs(explained, words, support)
+    explained = settled(explained, learned)
     # as many rows as there are sets of transformations that explain a word
-    sets = [(list(r.why), r.n) for r in explained.groupBy("why").agg(F.count_distinct("word").alias("n")).collect()]
+    sets = [(list(r.why), r.n) for r in explained.filter(F.col("why")[0] != BY_RUNS).groupBy("why").agg(F.count_distinct("word").alias("n")).collect()]
     chosen = choose_transforms(sets, support)
     # the letters beyond ASCII of all twins, a small set
-    letters = explained.select(F.explode(F.split(F.regexp_replace("twin", "[\\x00-\\x7f]", ""), "")).alias("c")).distinct().limit(2_000).collect()
-    mapping = Mapping(chosen, "".join(r.c for r in letters))
+    letters = explained.filter(F.col("why")[0] != BY_RUNS).select(F.explode(F.split(F.regexp_replace("twin", "[\\x00-\\x7f]", ""), "")).alias("c")).distinct().limit(2_000).collect()
+    mapping = Mapping(chosen, "".join(r.c for r in letters), learned)
     schema = pa.schema([("row_id", pa.int64()), ("field_name", pa.string()), ("value_text", pa.string()), ("restored", pa.string()), ("sure", pa.bool_()), ("words", pa.list_(pa.string()))])
 
     def apply(batches):
@@ -244,7 +320,7 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
                     if 1 in kinds or any(p.search(t) for p in signs):
                         garbled, x = mapping.restore(t)
                         if garbled:
-                            yield i, f, t, x, True, [w for w in _WORD.findall(x) if LOST in w]
+                            yield i, f, t, x, True, [w for w in _WORD.findall(x) if LOST in w or mapping.held(w)]
                             continue
                     if 2 in kinds:
                         yield i, f, t, t, False, mapping.doubtful(t)
@@ -254,13 +330,17 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
     words = F.array_join(F.regexp_extract_all("value", F.lit(WORD), F.lit(0)), " ")
     hits = spread(long).filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
     hits = checkpointed(hits)
-    wanted = F.array(*[F.lit(i) for i in [*chosen, BY_TWIN]])
+    wanted = F.array(*[F.lit(i) for i in [*chosen, BY_TWIN, BY_RUNS]])
     twins = explained.filter(F.arrays_overlap("why", wanted)).groupBy("word").agg(F.min("twin").alias("twin"))
+    by_signs = F.col("word")
+    for g, c in mapping.signs.items():
+        by_signs = F.regexp_replace(by_signs, f"(?<=[a-zA-Z]){''.join(f'\\x{{{ord(x):x}}}' for x in g)}(?=[a-zA-Z])", c)
     told = (
         hits.filter(F.size("words") > 0)
         .withColumn("word", F.explode(F.array_distinct("words")))
         .join(twins, "word", "left")
         .filter(F.col("twin").isNotNull() | F.col("sure"))
+        .withColumn("twin", F.coalesce("twin", F.nullif(by_signs, F.col("word"))))
         .groupBy("row_id", "field_name", "value_text", "restored")
         .agg(F.sort_array(F.collect_set(F.when(F.col("twin").isNotNull(), F.struct("word", "twin")))).alias("w"))
         .select("row_id", "field_name", "value_text", F.aggregate("w", F.col("restored"), lambda t, x: F.replace(t, x["word"], x["twin"])).alias("restored"))

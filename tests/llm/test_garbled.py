@@ -68,6 +68,21 @@ def test_words_in_capitals(spark):
     assert {r.row_id: r.restored for r in find_garbled(df, "row_id", ["title"]).collect()} == dict(enumerate(("ALGODÓN", "TÓRTOLA", "CORDÓN", "JERGÓN"), 100))
 
 
+def test_runs_beyond_the_listed_encodings(spark):
+    clean = "Perú Cañarú Tambú Nazcú año paño caña técnica édito médano crédito camión cordón algodón".split()
+    rows = [t for t in clean for _ in range(4)] + "hiló hiló hilé bordó bordó bordé calló calló callé cœur 3£ «Tambú» Lima–Cusco".split()
+    df = lambda dirty: spark.createDataFrame([*enumerate(rows), *enumerate(dirty, 1000)], "row_id long, title string")
+    for written, read in (("cp437", "cp1252"), ("mac_roman", "cp1252")):
+        dirty = {t: t.encode(written).decode(read) for t in "Perú Cañarú Tambú Nazcú año paño caña".split()}
+        if written == "mac_roman":
+            assert (dirty["Perú"], dirty["año"]) == ("Perœ", "a–o")
+        got = {r.row_id: r.restored for r in find_garbled(df(dirty.values()), "row_id", ["title"]).collect()}
+        assert got == dict(enumerate(dirty, 1000))
+    alone = ["a¤o", "pa¤o", "ca¤a", "le¤a de Per£"]  # the last one has no twin
+    got = {r.row_id: r.restored for r in find_garbled(df(alone), "row_id", ["title"]).collect()}
+    assert got == {1000: "año", 1001: "paño", 1002: "caña", 1003: "leña de Per£"}
+
+
 def test_empty_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ascii")], "row_id long, title string")
     assert find_garbled(df, "row_id", ["title"]).count() == 0 and find_garbled(df.limit(0), "row_id", ["title"]).count() == 0

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SHOWN = 100  # groups that a summary lists
+
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -56,5 +58,8 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
 
 def summary(df: DataFrame, group: str, timestamp: str) -> str:
     """Rows, columns, distribution and timestamp as text for the console."""
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(group).limit(100).collect()}
-    return f"rows: {sum(counts.values())}\ncolumns: {len(df.columns)}\n{group}: {counts}\ntimestamp: {timestamp}"
+    groups = df.groupBy(group).count()
+    rows, n = groups.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    counts = {r[0]: r[1] for r in groups.orderBy(group).limit(SHOWN).collect()}
+    more = f" and {n - SHOWN} groups not shown" if n > SHOWN else ""
+    return f"rows: {rows}\ncolumns: {len(df.columns)}\n{group}: {counts}{more}\ntimestamp: {timestamp}"

@@ -79,3 +79,8 @@ def test_profiles(spark):
     assert candidate_columns(["Titulo_Original ", "url_imagen", "zz"])["title"] == ["Titulo_Original "]
     none = profile_columns(df.limit(0), ["v"], "L").first()
     assert (none.total, none.coverage) == (0, 0.0)
+
+
+def test_summary_counts_all_groups(spark):
+    said = summary(spark.range(150).selectExpr("CAST(id AS string) AS g"), "g", "t")
+    assert "rows: 150\n" in said and "50 groups not shown" in said

@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from aguayo.operators.packed import cheapest, unpack
+from aguayo.operators.packed import candidates, cheapest, digest, literal_bits, long_form, unpack, value_codes
 
 CASES = {
     '"hilo ""a dos cabos"""|tinte de añil': ['hilo "a dos cabos"', "tinte de añil"],
@@ -58,3 +59,24 @@ def test_hot_value(spark):
     df = spark.createDataFrame([(i, "lana, sin teñir; seda" if i % 3 else "yute | seda") for i in range(900)], "row_id long, f string")
     got = unpack([("t", df, "row_id", ["f"])])
     assert got.count() == 600 * 3 + 300 * 2
+
+
+def test_fields_of_the_same_name_keep_their_own_codes(spark):
+    a = spark.createDataFrame([(1, "x; y")], "row_id long, f string")
+    b = spark.createDataFrame([(i, "x, y") for i in range(50)], "row_id long, f string")
+    both = [("a", a, "row_id", ["f"]), ("b", b, "row_id", ["f"])]
+    books = value_codes(long_form(both), {"a": 1, "b": 50})
+    assert set(books) == {("b", "f")} and digest("x") in books["b", "f"]
+    got = {(r.src_table, r.row_id, r.pos): r.value_text for r in unpack(both).collect()}
+    assert len(got) == 102 and got["a", 1, 2] == "y" and got["b", 49, 1] == "x"
+    with pytest.raises(ValueError):
+        unpack([both[0], both[0]])
+
+
+def test_any_set_of_delimiters_and_long_values_have_codes(spark):
+    parses = [v for _, v in candidates("a·b; c,d | e/f\tg")]
+    assert len(parses) == 2**6 and ["a·b", "c,d", "e/f", "g"] in parses and ["a·b", "c,d", "e/f\tg"] in parses
+    long = "v, " * 100 + "w"  # 301 characters that stand alone as one value, often
+    rows = [(i, long) for i in range(0, 300)] + [(5000, f"{long}; x"), (5001, "x; y")]
+    books = value_codes(long_form([("t", spark.createDataFrame(rows, "row_id long, f string"), "row_id", ["f"])]), {"t": 302})
+    assert books["t", "f"][digest(long)] < literal_bits(long) / 50

@@ -13,11 +13,12 @@ from ..functions.text import clean
 def diff_copies(main: DataFrame, mirror: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, diff): ``only_main``, ``only_mirror``, or a field whose cleaned values differ, a row each.
 
-    Both copies are tagged, cut at the same split points by one range partitioning on the cleaned
+    Both copies are tagged and reduced to one row a side and key, with a map-side part, so a key
+    that holds a large part of all rows reaches the range cut as two rows, whether its rows agree
+    or not. Then they are cut at the same split points by one range partitioning on the cleaned
     key, sorted inside the partitions and merged in one pass that holds a single key at a time.
-    Repeated rows are reduced before the first shuffle, so a key that holds a large part of all
-    rows does not reach one task as such. Rows with a missing key are left out; NULL and ''
-    agree; where repeated rows of one side disagree, the greatest value of each field counts.
+    Rows with a missing key are left out; NULL and '' agree; where repeated rows of one side
+    disagree, the greatest value of each field counts.
     Extra columns are not read; an empty side makes every key one-sided.
     """
     if key == "diff" or len(set(fields)) < len(fields):
@@ -25,9 +26,10 @@ def diff_copies(main: DataFrame, mirror: DataFrame, key: str, fields: list[str])
     names = [f"f{i}" for i in range(len(fields))]
 
     def side(df: DataFrame, n: int) -> DataFrame:
-        return df.select(clean(key).alias("k"), F.lit(n).alias("s"), *[clean(f).alias(a) for f, a in zip(fields, names)]).filter(F.col("k") != "").dropDuplicates()
+        return df.select(clean(key).alias("k"), F.lit(n).alias("s"), *[clean(f).alias(a) for f, a in zip(fields, names)]).filter(F.col("k") != "")
 
-    both = side(main, 0).unionByName(side(mirror, 1)).repartitionByRange("k").sortWithinPartitions("k", "s")
+    rows = side(main, 0).unionByName(side(mirror, 1)).groupBy("k", "s").agg(*[F.max(a).alias(a) for a in names])
+    both = rows.repartitionByRange("k").sortWithinPartitions("k", "s")
     schema = pa.schema([(key, pa.string()), ("diff", pa.string())])
 
     def merge(batches):
@@ -47,7 +49,7 @@ def diff_copies(main: DataFrame, mirror: DataFrame, key: str, fields: list[str])
                         if at is not None:
                             yield from settle(at, have)
                         at, have = k, [None, None]
-                    have[s] = v if have[s] is None else [max(x, y) for x, y in zip(have[s], v)]
+                    have[s] = v
             if at is not None:
                 yield from settle(at, have)
 

@@ -34,3 +34,10 @@ def test_hot_key_long_values_and_extra_columns(spark):
     b = spark.createDataFrame([("hot", "x" * 99_999, 1)] + [(f"k{i}", "v" if i % 2 else "w", i) for i in range(1, 201)], "id string, f0 string, s int")
     got = sorted(map(tuple, diff_copies(a, b, "id", ["f0"]).collect()))
     assert got == sorted([("hot", "f0"), ("k0", "only_main"), ("k200", "only_mirror")] + [(f"k{i}", "f0") for i in range(2, 200, 2)])
+
+
+def test_hot_key_whose_rows_disagree(spark):
+    a = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS id", "concat('v', id) AS u")
+    b = spark.createDataFrame([("hot", "v999")], "id string, u string")
+    got = sorted(map(tuple, diff_copies(a, b, "id", ["u"]).collect()))
+    assert len(got) == 2_000 and ("hot", "u") not in got  # v999 is the greatest value on both sides

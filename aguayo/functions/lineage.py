@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder of spark.checkpoint.dir that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share, from the setting spark.checkpoint.dir.
 
     Only in local mode, as in tests, a temporary folder is set where the session names none; on a
     cluster that raises, because a folder of one machine would not survive it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.storage import exists
 
 
 class ValidationError(ValueError):
@@ -18,8 +18,12 @@ class ValidationError(ValueError):
         self.rule = rule
 
 
+def absent_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return sorted(set(required) - set(df.columns))
+
+
 def require_columns(df: DataFrame, required: list[str], name: str) -> None:
-    missing = sorted(set(required) - set(df.columns))
+    missing = absent_columns(df, required)
     if missing:
         raise ValidationError("columns", f"{name}: missing columns {missing}")
 
@@ -32,8 +36,9 @@ def require_same_schema(a: DataFrame, b: DataFrame) -> None:
         raise ValidationError("schema", f"only left {sorted(x - y)}, only right {sorted(y - x)}, first difference at {at}")
 
 
-def require_file(path: str) -> None:
-    if "://" not in path and not Path(path).exists():
+def require_file(spark: SparkSession, path: str) -> None:
+    """Raise FileNotFoundError for a path, local or a URI, that is not there."""
+    if not exists(spark, path):
         raise FileNotFoundError(path)
 
 
@@ -71,23 +76,24 @@ def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def corpus_metrics(df: DataFrame, e: Expectations) -> DataFrame:
-    """All counts that validate_corpus needs but group counts, in one row.
+    """All counts that validate_corpus needs but group counts, in one row and one pass over the corpus.
 
-    duplicate_ids and duplicate_source_keys are surplus rows, empty_<column>, other_<column> rows
-    that differ from the single value, timestamps distinct values.
+    duplicate_ids and duplicate_source_keys are surplus rows, NULL as a value of its own;
+    empty_<column>, other_<column> rows that differ from the single value, timestamps distinct
+    values. Distinct counts have a map-side part in the same aggregate.
     """
-    first = df.agg(
+    surplus = lambda *cs: F.count(F.lit(1)) - F.count_distinct(F.struct(*cs))
+    return df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(F.when(strip(c) == "", 1)).alias(f"empty_{c}") for c in e.complete],
         *[F.count(F.when(~F.col(c).eqNullSafe(v), 1)).alias(f"other_{c}") for c, v in e.single_values.items()],
         F.count(F.when(F.col(e.timestamp_column).isNull(), 1)).alias("null_timestamps"),
         F.min(e.timestamp_column).alias("timestamp_min"),
         F.max(e.timestamp_column).alias("timestamp_max"),
+        surplus(e.id_column).alias("duplicate_ids"),
+        surplus(*e.source_key).alias("duplicate_source_keys"),
+        F.lit(len(df.columns)).alias("columns"),
     )
-    one = F.lit(1).alias("_one")
-    ids = df.groupBy(e.id_column).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_ids")).select("*", one)
-    keys = df.groupBy(*e.source_key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_source_keys")).select("*", one)
-    return first.select("*", one).join(ids, "_one").join(keys, "_one").drop("_one").withColumn("columns", F.lit(len(df.columns)))
 
 
 def validate_corpus(df: DataFrame, e: Expectations) -> None:

@@ -44,12 +44,14 @@ class Contract:
 
 
 def violations(df: DataFrame, c: Contract) -> DataFrame:
-    """(rule, field, violations) of every rule: required and patterns in one aggregate, each unique key in one grouping."""
+    """(rule, field, violations) of every rule, all from one aggregate over one pass.
+
+    Violations of a unique key are surplus rows, NULL as a value of its own.
+    """
     full = lambda f: strip(f) != ""
-    rules = [("required", f, strip(f) == "") for f in c.required] + [("allowed", f, full(f) & ~F.col(f).isin(*v)) for f, v in c.allowed.items()] + [("pattern", f, full(f) & ~F.col(f).rlike(p)) for f, p in c.patterns.items()]
-    one = df.agg(*[F.count(F.when(cond, 1)).alias(f"r{i}") for i, (_, _, cond) in enumerate(rules)])
-    out = one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(f).alias("field"), F.col(f"r{i}").alias("violations")) for i, (r, f, _) in enumerate(rules)])))
-    for key in c.unique:
-        surplus = df.groupBy(*key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
-        out = out.unionByName(surplus.select(F.lit("unique").alias("rule"), F.lit("+".join(key)).alias("field"), "violations"))
-    return out
+    broken = [("required", f, strip(f) == "") for f in c.required] + [("allowed", f, full(f) & ~F.col(f).isin(*v)) for f, v in c.allowed.items()] + [("pattern", f, full(f) & ~F.col(f).rlike(p)) for f, p in c.patterns.items()]
+    counts = [(r, f, F.count(F.when(cond, 1))) for r, f, cond in broken]
+    counts += [("unique", "+".join(key), F.count(F.lit(1)) - F.count_distinct(F.struct(*key))) for key in c.unique]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[n.alias(f"r{i}") for i, (_, _, n) in enumerate(counts)])
+    none = F.array().cast("array<struct<rule:string,field:string,violations:bigint>>")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(f).alias("field"), F.col(f"r{i}").alias("violations")) for i, (r, f, _) in enumerate(counts)]) if counts else none))

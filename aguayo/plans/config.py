@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 from pathlib import Path
 
@@ -39,3 +40,8 @@ def dataset_version(config: dict) -> str:
     if not isinstance(v, str) or not v.strip():
         raise ValueError("the dataset has no version")
     return v
+
+
+def utc_now() -> str:
+    """The present time in UTC as ISO-8601 text, to the second, for builds that fix none."""
+    return time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())

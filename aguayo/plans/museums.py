@@ -28,9 +28,9 @@ class SourceSpec:
 
 @dataclass(frozen=True)
 class BuildInfo:
-    """Lineage constants of a build."""
+    """Lineage constants of a build; its timestamp is always given (see plans.config)."""
 
-    timestamp: str = "2026-07-15T09:44:36Z"
+    timestamp: str
     branch: str = "main"
     commit: str = "0" * 40
     adapter_version: str = "1.0.0"
@@ -47,6 +47,7 @@ def _tail(museum: str, info: BuildInfo) -> Target:
     }
 
 
+# The columns of the harmonised schema in contract order, with the source columns they come from.
 def met_mapping(info: BuildInfo) -> Target:
     return {
         "item_id": ItemId("MET", "id_fuente"), "museum": Const("MET"), "source_object_id": Clean("id_fuente"), "source_accession_number": Const(),
@@ -75,6 +76,7 @@ def cma_mapping(info: BuildInfo) -> Target:
     }
 
 
+# Names, keys and fields of the source tables, and which field fills or recovers which.
 MET = SourceSpec(
     museum="MET",
     reviewed_table="met_principal_enriched_v1",

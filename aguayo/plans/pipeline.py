@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from ..operators.checks import Expectations, require_same_schema, validate_corpu
 from ..operators.keys import checked_left_join, require_complete_match
 from ..operators.mapping import apply_mapping
 from ..sources.sinks import write_csv, write_parquet
+from ..sources.storage import promote, remove
 from .museums import MAPPINGS, BuildInfo, SourceSpec
 
 
@@ -50,12 +50,17 @@ def build_corpus(sources: list[tuple[SourceSpec, DataFrame, DataFrame]], info: B
     return unite([adapt(s, enrich(s, r, e, check), info) for s, r, e in sources]).orderBy(*order)
 
 
-def write_corpus(corpus: DataFrame, expected: Expectations, parquet: str, csv: str) -> None:
-    """Validate, then write both forms; the corpus is computed once."""
-    kept = corpus.persist(StorageLevel.DISK_ONLY)
+def write_corpus(corpus: DataFrame, expected: Expectations, parquet: str, csv: str, order: tuple[str, ...] = ("museum", "source_object_id")) -> None:
+    """Compute the corpus once, into a staged table; validate what is there, then put it in place and write the CSV, ordered.
+
+    Nothing is kept on executors. A corpus that fails leaves no table.
+    """
+    spark, staged = corpus.sparkSession, f"{parquet}.unchecked"
+    write_parquet(corpus, staged)
     try:
-        validate_corpus(kept, expected)
-        write_parquet(kept, parquet)
-        write_csv(kept, csv)
-    finally:
-        kept.unpersist()
+        validate_corpus(spark.read.parquet(staged), expected)
+    except BaseException:
+        remove(spark, staged)
+        raise
+    promote(spark, staged, parquet)
+    write_csv(spark.read.parquet(parquet).orderBy(*order), csv)

@@ -10,7 +10,7 @@ from ..operators.masks import changes, load_metrics, mask_table, mask_violations
 from ..operators.orphans import find_orphans, orphan_counts
 from ..operators.packed import unpack
 from ..sources.tables import table
-from .sqltext import clean_sql
+from .sqltext import clean_sql, strip_sql
 
 MIRRORED = ["titulo_original", "cultura", "url_imagen"]
 PROFILED = ["description", "technique", "provenance", "license"]
@@ -33,6 +33,16 @@ def p1_value_counts(spark: SparkSession, d: str) -> DataFrame:
     return unpack(_packed(spark, d), 1).groupBy("src_table", "field_name").agg(F.count(F.when(F.col("pos") == 1, 1)).alias("fields"), F.count(F.lit(1)).alias("values"), F.max("pos").alias("most_values"))
 
 
+# Texts in which nothing but semicolons can separate and nothing protects them.
+_SIMPLE = r'^[^"\x27\[\]{}()0-9,/|·•、；，\n\r\t\\]*;[^"\x27\[\]{}()0-9,/|·•、；，\n\r\t\\]*$'
+
+
+def p1_simple_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What p1_found says of the texts whose reading SQL can tell too: lists with semicolons only."""
+    simple = table(spark, d, "paper_corpus").filter(F.col("material_original").rlike(_SIMPLE)).select("row_id")
+    return p1_found(spark, d).filter("src_table = 'paper_corpus'").join(simple, "row_id", "left_semi").select("row_id", "pos", "value_text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return diff_copies(table(spark, d, "met_principal_enriched_v1"), table(spark, d, "met_principal_enriched_v1_mirror"), "id_fuente", MIRRORED)
 
@@ -68,7 +78,7 @@ def p6_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_value_counts, p2_found, p2_diff_counts, p4_found, p4_profile, p4_mask_violations, p6_found, p6_orphan_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_value_counts, p1_simple_lists, p2_found, p2_diff_counts, p4_found, p4_profile, p4_mask_violations, p6_found, p6_orphan_counts)}
 
 
 def _p2_sql() -> str:
@@ -134,7 +144,12 @@ def _p6_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_P1_SIMPLE_SQL = f"""WITH s AS (SELECT row_id, list_filter(list_transform(string_split(material_original, ';'), lambda x: {strip_sql("x")}), lambda x: x <> '') AS vs
+    FROM paper_corpus WHERE regexp_matches(material_original, '{_SIMPLE}')), p AS (SELECT row_id, vs, unnest(range(1, len(vs) + 1))::INTEGER AS pos FROM s WHERE len(vs) >= 2)
+    SELECT row_id, pos, vs[pos] AS value_text FROM p"""
+
 SQL = {
+    "p1_simple_lists": _P1_SIMPLE_SQL,
     "p2_found": _p2_sql(),
     "p2_diff_counts": f"SELECT diff, count(*) AS n FROM ({_p2_sql()}) GROUP BY 1",
     "p4_found": _p4_sql(),

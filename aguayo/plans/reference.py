@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..functions.text import clean, coalesce_non_empty, first_non_empty, iso_timestamp_valid, item_id, strip
-from ..operators import keys, profiles
+from ..operators import checks, keys, profiles
 from ..operators.checks import Expectations, completeness, corpus_metrics
 from ..operators.contract import Contract, violations
 from ..operators.mapping import mapping_sql, prefixed
+from ..sources.csv import csv_strings, csv_with_fallback
+from ..sources.sinks import as_text, write_csv_parts
 from ..sources.tables import table
 from .museums import CMA, COMPLETE, COVERED, MAPPINGS, MET, REQUIRED, BuildInfo, SourceSpec
 from .pipeline import adapt, build_corpus, enrich, unite
 from .sqltext import clean_sql, first_non_empty_sql, strip_sql
 
-INFO = BuildInfo()
+INFO = BuildInfo("2026-01-31T00:00:00Z")
 LATEST = ["loaded_at", "row_id"]
+# Fields of the profiles.
 PROFILED = ["id_fuente", "titulo_original", "titulo_es_sugerido", "cultura", "fecha_objeto", "procedencia", "tipo_objeto", "tipo_superficie", "material", "material_normalizado", "tecnica", "url_objeto", "url_imagen", "campo_ausente"]
+PROFILED_CMA = ["id_objeto", "numero_acceso", "titulo_original", "cultura", "periodo", "clasificacion_original", "nombre_objeto_original", "tecnica_original", "material_original", "descripcion_original", "url_objeto", "url_imagen", "tipo_objeto_manual", "cultura_manual", "periodo_manual", "notas_iconograficas", "notas_tecnicas", "iiif"]
 RECOVERED = {
     "MET": ["titulo_original", "titulo_es_sugerido", "cultura", "fecha_objeto", "tipo_objeto", "material", "tecnica", "clasificacion_original_recuperada", "clasificacion_normalizada_recuperada", "pais_recuperado", "region_recuperada"],
     "CMA": ["numero_acceso", "titulo_original", "cultura", "periodo", "clasificacion_original", "tecnica_original", "material_original", "descripcion_original", "departamento_recuperado", "licencia_recuperada"],
@@ -270,6 +277,11 @@ def profile_columns(spark, d):
     return profiles.profile_columns(table(spark, d, "met_principal_enriched_v1"), PROFILED, "MET")
 
 
+@query(_profile_sql("cma_principal_enriched_v1", "CMA", PROFILED_CMA, ("iiif",)))
+def profile_columns_b(spark, d):
+    return profiles.profile_columns(table(spark, d, "cma_principal_enriched_v1"), PROFILED_CMA, "CMA")
+
+
 @query(" UNION ALL ".join(_profile_sql(s.reviewed_table, s.museum, RECOVERED[s.museum], available=False) for s in (MET, CMA)))
 def profile_recovered(spark, d):
     one = lambda s: profiles.profile_columns(table(spark, d, s.reviewed_table), RECOVERED[s.museum], s.museum, with_available=False)
@@ -319,6 +331,47 @@ def first_row_preview(spark, d):
     return profiles.first_row_preview(table(spark, d, "documents").select("doc_id", *_SHOWN), "doc_id")
 
 
+# ---- sources and their checks
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ["id_objeto", *MET.enrichment_fields]) + " FROM met_inventario_base")
+def scan_csv_strings(spark, d):
+    """The inventory written as CSV parts and scanned again: every column a string, missing as ''."""
+    path = _scratch(spark, "inventory")
+    write_csv_parts(table(spark, d, "met_inventario_base").select("id_objeto", *MET.enrichment_fields), path)
+    return csv_strings(spark, path)
+
+
+@query("SELECT CAST(entry_id AS VARCHAR) AS entry_id, coalesce(field_name, '') AS field_name, coalesce(label, '') AS label, coalesce(label_en, '') AS label_en FROM canonical_terms")
+def scan_csv_fallback(spark, d):
+    """The reference list in Latin-1 with semicolons, which only the last attempt reads in columns."""
+    path = _scratch(spark, "terms")
+    as_text(table(spark, d, "canonical_terms")).write.options(header=True, escape='"', sep=";", encoding="ISO-8859-1").csv(path)
+    return csv_with_fallback(spark, path)
+
+
+@query("SELECT 'canonical_terms' AS source, count(*) AS rows, 150::BIGINT AS expected, CASE WHEN count(*) = 150 THEN 'APROBADO' ELSE 'REVISAR' END AS verdict FROM canonical_terms UNION ALL SELECT 'load_log', count(*), 9, CASE WHEN count(*) = 9 THEN 'APROBADO' ELSE 'REVISAR' END FROM load_log UNION ALL SELECT 'no_such_table', NULL, 1, 'ERROR AnalysisException'")
+def source_verdicts(spark, d):
+    read = lambda t: lambda: table(spark, d, t)
+    found = checks.source_verdicts({t: (read(t), n) for t, n in (("canonical_terms", 150), ("load_log", 9), ("no_such_table", 1))})
+    return spark.createDataFrame(found, "source string, rows long, expected long, verdict string")
+
+
+_NEEDED = {MET.reviewed_table: [*MET.reviewed_fields, "campo_ausente"], CMA.reviewed_table: [*CMA.reviewed_fields], MET.enrichment_table: ["id_objeto", "otro_ausente"]}
+_PAIRS = ", ".join(f"('{t}', '{c}')" for t, cs in _NEEDED.items() for c in cs)
+
+
+@query(f"SELECT n.t AS source, n.c AS column_name FROM (VALUES {_PAIRS}) n(t, c) WHERE NOT EXISTS (SELECT 1 FROM information_schema.columns i WHERE i.table_name = n.t AND i.column_name = n.c)")
+def missing_columns(spark, d):
+    """Required columns that a source lacks, as require_columns tells them."""
+    found = [(t, c) for t, cs in _NEEDED.items() for c in checks.absent_columns(table(spark, d, t), cs)]
+    return spark.createDataFrame(found, "source string, column_name string")
+
+
 # ---- the corpus
 
 

@@ -12,15 +12,16 @@ ATTEMPTS = (("utf-8-sig", ","), ("utf-8", ","), ("latin-1", ","), ("utf-8-sig",
 _NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
-def csv_strings(spark: SparkSession, path: str, encoding: str = "utf-8-sig", sep: str = ",", check_long: bool = True) -> DataFrame:
+def csv_strings(spark: SparkSession, path: str, encoding: str = "utf-8-sig", sep: str = ",", check_long: bool = True, multi_line: bool = True) -> DataFrame:
     """A CSV with header. Text such as NA stays text, empty fields and those of short rows are ''.
 
     Quotes are escaped by doubling, line ends inside quotes belong to the value, a byte order mark
-    is dropped, blank lines are skipped. A missing local file raises FileNotFoundError. Rows with
-    more fields than the header raise when they are read (``check_long``).
+    is dropped, blank lines are skipped. A missing file raises FileNotFoundError. Rows with more
+    fields than the header raise when they are read (``check_long``). Line ends inside quotes make
+    a file one task; ``multi_line=False`` reads large files without such line ends in many.
     """
-    require_file(path)
-    read = spark.read.options(header=True, multiLine=True, escape='"', quote='"', encoding=_NAMES[encoding], sep=sep, mode="PERMISSIVE")
+    require_file(spark, path)
+    read = spark.read.options(header=True, multiLine=multi_line, escape='"', quote='"', encoding=_NAMES[encoding], sep=sep, mode="PERMISSIVE")
     names = read.csv(path).columns
     if not names:
         raise ValueError(f"no header in {path}")
@@ -38,10 +39,12 @@ def csv_strings(spark: SparkSession, path: str, encoding: str = "utf-8-sig", sep
 def csv_with_fallback(spark: SparkSession, path: str, attempts: tuple[tuple[str, str], ...] = ATTEMPTS) -> DataFrame:
     """The first attempt that decodes and has more than one column; RuntimeError with all attempts if none has.
 
-    Bytes are checked before: a reader would replace what it cannot decode instead of failing.
+    Bytes are checked before: a reader would replace what it cannot decode instead of failing. They
+    are checked line by line, for no character of UTF-8 holds the byte of a line end, so large files
+    are checked in many tasks.
     """
-    require_file(path)
-    utf8 = spark.read.format("binaryFile").load(path).select(F.expr("bool_and(is_valid_utf8(cast(content AS string)))")).first()[0]
+    require_file(spark, path)
+    utf8 = spark.read.text(path).agg(F.coalesce(F.expr("bool_and(is_valid_utf8(value))"), F.lit(True))).first()[0]
     log = []
     for encoding, sep in attempts:
         if encoding.startswith("utf-8") and not utf8:

@@ -5,13 +5,13 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from aguayo.operators.checks import Expectations, ValidationError, require_columns, require_same_schema, source_verdicts, validate_corpus
+from aguayo.operators.checks import Expectations, ValidationError, corpus_metrics, require_columns, require_same_schema, source_verdicts, validate_corpus
 from aguayo.operators.mapping import apply_mapping
 from aguayo.plans.museums import CMA, COMPLETE, MAPPINGS, MET, REQUIRED, BuildInfo
 from aguayo.plans.pipeline import build_corpus, enrich, write_corpus
 from aguayo.sources.sinks import fingerprint
 
-INFO = BuildInfo()
+INFO = BuildInfo("2026-01-31T00:00:00Z")
 EXPECTED = Expectations(215, 42, group_counts={"MET": 127, "CMA": 88}, complete=COMPLETE, single_values={"dataset_split": "principal", "review_status": "aprobado"}, timestamp=INFO.timestamp)
 
 
@@ -100,4 +100,12 @@ def test_write(spark, corpus, tmp_path):
     assert raw.startswith(b"\xef\xbb\xbfitem_id,museum") and raw.count(b"\n") == 216
     with pytest.raises(ValidationError):
         write_corpus(corpus, replace(EXPECTED, rows=1), str(tmp_path / "d.parquet"), str(tmp_path / "d.csv"))
-    assert not (tmp_path / "d.parquet").exists()
+    assert not (tmp_path / "d.parquet").exists() and not (tmp_path / "d.parquet.unchecked").exists()
+
+
+def test_metrics_take_one_pass(corpus, sources):
+    plan = corpus_metrics(build_corpus(sources, INFO, check=False, order=("item_id",)), EXPECTED)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 4 and "Join Inner" not in plan
+    nulls = corpus.limit(3).withColumns({"item_id": F.lit(None).cast("string"), "museum": F.lit("M")})
+    m = corpus_metrics(nulls, EXPECTED).first()
+    assert (m.rows, m.duplicate_ids, m.duplicate_source_keys) == (3, 2, 0)

@@ -4,6 +4,8 @@ import pytest
 
 from aguayo.functions.sql import percent, register
 from aguayo.operators.checks import Expectations
+from aguayo.plans import facade
+from aguayo.plans.config import utc_now
 from aguayo.plans.museums import CMA, COMPLETE, MET, BuildInfo
 from aguayo.plans.runners import describe, run_adapt, run_build, run_coverage, run_enrich, run_join_audit, run_profile
 from aguayo.sources.blobs import Pinned, binary_files, blob_at, digest, extract, preflight
@@ -27,7 +29,7 @@ def inputs(tmp_path_factory):
 
 
 def test_stages(spark, inputs, tmp_path):
-    info = BuildInfo()
+    info = BuildInfo(utc_now())
     s, r, e = inputs[0]
     enriched = run_enrich(spark, s, r, e, str(tmp_path / "interim/met"), 5)
     assert enriched.count() == 5 and (tmp_path / "interim/met.csv").exists()
@@ -35,12 +37,16 @@ def test_stages(spark, inputs, tmp_path):
     expected = Expectations(9, 42, group_counts={"MET": 5, "CMA": 4}, complete=tuple(c for c in COMPLETE if c != "license"), timestamp=info.timestamp)
     said = run_build(spark, inputs, str(tmp_path / "corpus"), info, expected)
     assert "rows: 9" in said and "columns: 42" in said
+    assert facade.build_corpus(spark, inputs, info).count() == 9 and facade.run is run_build
+    facade.validate_combined_corpus(spark.read.parquet(str(tmp_path / "corpus.parquet")), expected)
     cov = run_coverage(spark, str(tmp_path / "corpus.parquet"), str(tmp_path / "cov.csv")).collect()
     assert len(cov) == 36 and (cov[0].museum, cov[0].field, cov[0].total) == ("ALL", "title", 9)
 
 
 def test_reports(spark, inputs, tmp_path):
-    report, missing = run_join_audit(spark, inputs, str(tmp_path / "audit.csv"))
+    said = []
+    report, missing = run_join_audit(spark, inputs, str(tmp_path / "audit.csv"), said.append)
+    assert said[0].splitlines()[1].split() == ["MET", "reviewed_rows", "5.0"] and said[2] == "CMA, missing keys: k-3"
     assert report.count() == 20 and missing == {"MET": [], "CMA": ["k-3"]}
     assert (tmp_path / "audit.csv").read_text(encoding="utf-8-sig").splitlines()[:2] == ["museum,metric,value", "MET,reviewed_rows,5.0"]
     p = run_profile(spark, [(s.museum, r, [s.reviewed_key, "zz"]) for s, r, _ in inputs], str(tmp_path / "p.csv")).collect()
@@ -71,3 +77,16 @@ def test_blobs(spark, tmp_path):
     assert preflight(files, lambda p: 1) == [("bad", "sha256"), ("bad", "rows"), ("none", "missing")]
     with pytest.raises(subprocess.CalledProcessError):
         blob_at(str(tmp_path), "HEAD", "zz")
+
+
+def test_sinks_take_uris(spark, inputs, tmp_path):
+    info = BuildInfo("2026-01-31T00:00:00Z")
+    out = f"file:{tmp_path}/deep/er/met"
+    assert run_enrich(spark, inputs[0][0], f"file://{inputs[0][1]}", inputs[0][2], out, 5).count() == 5
+    expected = Expectations(9, 42, group_counts={"MET": 5, "CMA": 4}, timestamp=info.timestamp)
+    run_build(spark, inputs, f"file:{tmp_path}/corpus", info, expected)
+    lines = (tmp_path / "corpus.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert len(lines) == 10 and [x.split(",")[1] for x in lines[1:]] == ["CMA"] * 4 + ["MET"] * 5
+    assert not list(tmp_path.glob("*.parts")) and not list(tmp_path.glob("*.unchecked"))
+    with pytest.raises(FileNotFoundError):
+        csv_strings(spark, f"file:{tmp_path}/none.csv")

@@ -6,7 +6,7 @@ from aguayo.operators.contract import Contract, violations
 from aguayo.operators.profiles import candidate_columns, coverage_by_group, first_row_preview, identifier_quality, profile_columns, top_values
 from aguayo.plans.config import dataset_version, load_config, processing_timestamp
 from aguayo.sources.csv import csv_strings, csv_with_fallback
-from aguayo.sources.sinks import summary, write_csv
+from aguayo.sources.sinks import as_table, summary, write_csv
 
 
 def test_csv_scan(spark, tmp_path):
@@ -40,6 +40,14 @@ def test_csv_round_trip(spark, tmp_path):
     write_csv(df.limit(0), str(tmp_path / "e.csv"))
     assert (tmp_path / "e.csv").read_bytes().strip() == b"\xef\xbb\xbfa,b,c,d"
     assert "rows: 3" in summary(df, "b", "t")
+    many = spark.range(1000).selectExpr("concat('g', id % 150) AS g", "'x\ny' AS `a,\"b`")
+    said = summary(many, "g", "t")
+    assert "rows: 1000" in said and "50 groups not shown" in said
+    assert as_table(many, 2).endswith("more rows not shown") and as_table(df).splitlines()[0].split() == ["a", "b", "c", "d"]
+    write_csv(many.repartition(5), f"file:{tmp_path}/m.csv")
+    with open(tmp_path / "m.csv", encoding="utf-8-sig", newline="") as f:
+        rows = list(pycsv.reader(f))
+    assert rows[0] == ["g", 'a,"b'] and len(rows) == 1001 and {r[1] for r in rows[1:]} == {"x\ny"}
 
 
 def test_config(tmp_path):

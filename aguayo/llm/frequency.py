@@ -7,31 +7,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import rows_out
 from ..functions.text import clean
 
-EVERY = "*"  # the pseudo field under which all records are counted
-
 
 def run_lengths(df: DataFrame, fields: list[str], record: str) -> DataFrame:
     """(field_name, value_text, occurrences, records) of every distinct cleaned value of the fields.
 
-    Pairs of value and record identifier are range-partitioned and sorted on both, so the pairs of
-    a value that a third of all rows hold spread over many partitions and equal pairs never part.
-    Each partition is scanned once: a run of equal pairs is one record, a run of equal values one
-    partial count, which a small aggregate adds up. The pseudo field ``*`` with the value '' counts
-    all distinct records. Missing values and NULL are no values; a missing record identifier still
-    counts as an occurrence, but is no record. Empty tables give no rows.
+    Pairs of value and record identifier are range-partitioned and sorted on both, and behind them
+    on the part of the input they come from: so the pairs of a value that a third of all rows hold
+    spread over many partitions, and so do equal pairs (a hot record, or rows without one). Each
+    partition is scanned once: a run of equal pairs is one record, a run of equal values one partial
+    count, which a small aggregate adds up. Only the first and the last pair of a partition can
+    stand in another one as well; these are handed on by name (``edge``) and counted once. Missing
+    values and NULL are no values; a missing record identifier still counts as an occurrence, but
+    is no record. Empty tables give no rows.
     """
-    if EVERY in fields:
-        raise ValueError(f"no field may be named {EVERY}")
     named = [F.struct(F.lit(f).alias("field_name"), clean(f).alias("value_text")) for f in fields]
     pairs = (
-        df.select(clean(record).alias("record"), F.inline(F.array(F.struct(F.lit(EVERY).alias("field_name"), F.lit("").alias("value_text")), *named)))
-        .filter((F.col("value_text") != "") | (F.col("field_name") == EVERY))
-        .repartitionByRange("field_name", "value_text", "record")
+        df.select(clean(record).alias("record"), F.spark_partition_id().alias("part"), F.inline(F.array(*named)))
+        .filter(F.col("value_text") != "")
+        .repartitionByRange("field_name", "value_text", "record", "part")
         .sortWithinPartitions("field_name", "value_text", "record")
     )
-    schema = pa.schema([("field_name", pa.string()), ("value_text", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+    schema = pa.schema([("field_name", pa.string()), ("value_text", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64()), ("edge", pa.string())])
 
     def starts(cols: list[pa.Array], before: tuple | None) -> pa.Array:
         """True where a row differs from the one before it."""
@@ -43,7 +42,7 @@ def run_lengths(df: DataFrame, fields: list[str], record: str) -> DataFrame:
         return out
 
     def scan(batches):
-        last, open_run = None, None
+        first, last, open_run = None, None, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -64,21 +63,23 @@ def run_lengths(df: DataFrame, fields: list[str], record: str) -> DataFrame:
                 else:  # the run goes on from the batch before
                     open_run[2] += n
                     open_run[3] += d
+            first = first or (f[0].as_py(), v[0].as_py(), r[0].as_py())
             last = (f[-1].as_py(), v[-1].as_py(), r[-1].as_py())
             if fs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((fs, vs, ns, ds), schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((fs, vs, ns, ds, [None] * len(fs)), schema.types)], schema=schema)
         if open_run:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(open_run, schema.types)], schema=schema)
+            edges = [(f, v, 0, -1, r) for f, v, r in {first, last} if r]  # counted above, to be counted by name instead
+            yield from rows_out(schema, [(*open_run, None), *edges])
 
-    runs = pairs.mapInArrow(scan, "field_name string, value_text string, occurrences long, records long")
-    return runs.groupBy("field_name", "value_text").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    runs = pairs.mapInArrow(scan, "field_name string, value_text string, occurrences long, records long, edge string")
+    return runs.groupBy("field_name", "value_text").agg(F.sum("occurrences").alias("occurrences"), (F.sum("records") + F.count_distinct("edge")).alias("records"))
 
 
 def value_frequencies(df: DataFrame, fields: list[str], record: str, rare_at_most: int = 2, common_share: float = 0.1) -> DataFrame:
     """run_lengths with a mark: ``rare`` for at most ``rare_at_most`` records, ``common`` for more than
     ``common_share`` of all distinct records, else NULL. Where both hold, ``rare`` wins."""
-    runs = run_lengths(df, fields, record)
     # the total, once for each of the given fields: a row per field, joined on the field's name
-    total = runs.filter(F.col("field_name") == EVERY).select(F.explode(F.array(*map(F.lit, fields))).alias("field_name"), F.col("records").alias("all_records"))
+    every = df.select(clean(record).alias("r")).filter(F.col("r") != "").agg(F.count_distinct("r").alias("all_records"))
+    total = every.select("all_records", F.explode(F.array(*map(F.lit, fields))).alias("field_name"))
     mark = F.when(F.col("records") <= rare_at_most, "rare").when(F.col("records") > common_share * F.col("all_records"), "common")
-    return runs.filter(F.col("field_name") != EVERY).join(F.broadcast(total), "field_name").select("field_name", "value_text", "occurrences", "records", mark.alias("mark"))
+    return run_lengths(df, fields, record).join(F.broadcast(total), "field_name").select("field_name", "value_text", "occurrences", "records", mark.alias("mark"))

@@ -2,9 +2,10 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from aguayo.functions.text import clean_py
-from aguayo.llm.frequency import value_frequencies
+from aguayo.llm.frequency import run_lengths, value_frequencies
 
 ROW = st.tuples(st.sampled_from(["i1", "i2", " i2", "i3", "", None]), st.sampled_from(["a", " a ", "b", "nan", None, "", "A"]), st.sampled_from(["x", "y", None]))
 
@@ -41,3 +42,13 @@ def test_hot_value_over_many_batches(spark):
     assert (rows["hot"].occurrences, rows["hot"].records, rows["hot"].mark) == (2000, len({i % 4000 for i in range(0, 6000, 3)}), "common")
     assert sum(r.occurrences for r in rows.values()) == 6_000
     assert value_frequencies(df.limit(0), ["u"], "item").count() == 0
+
+
+def test_equal_pairs_part_and_count_once(spark):
+    rows = [("hot", "v")] * 4_000 + [("", "v")] * 4_000 + [(f"i{k}", f"w{k % 50}") for k in range(1_000)]
+    df = spark.createDataFrame(rows, "item string, u string").repartition(8)
+    pairs = run_lengths(df, ["u"], "item")
+    got = {r.value_text: (r.occurrences, r.records) for r in pairs.collect()}
+    assert got["v"] == (8_000, 1) and all(got[f"w{k}"] == (20, 20) for k in range(50))
+    tag = df.withColumn("part", F.spark_partition_id()).repartitionByRange(4, "u", "item", "part").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in tag.collect()) < 5_000  # neither the hot record nor the rows without one stay whole

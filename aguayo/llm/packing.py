@@ -17,8 +17,9 @@ from .tokens import RANKS, tokenizer
 class SumOfSquares:
     """Online packing: an item goes where the sum of squared counts of partly filled containers gets least.
 
-    ``levels[h]`` counts the open containers filled to h; ``open[h]`` holds their numbers. Ties go
-    to the fullest container. Adding to level h changes the sum by 2 (N[h+s] - N[h] + 1), by
+    ``levels[h]`` counts the open containers filled to h; ``open[h]`` holds their numbers. A container
+    that holds only items of size 0 is open at level 0 and is what a new one would be. Ties go to
+    the fullest container. Adding to level h changes the sum by 2 (N[h+s] - N[h] + 1), by
     1 - 2 N[h] when it fills up, opening one by 2 N[s] + 1.
     """
 
@@ -29,16 +30,15 @@ class SumOfSquares:
         self.n = 0
 
     def place(self, size: int) -> tuple[int, int]:
-        """(container, fill before the item). Items of size 0 go to the container used last."""
+        """(container, fill before the item). Items of size 0 go to the fullest open container."""
         cap, n = self.capacity, self.levels
         if size <= 0:
             h = next((h for h in range(cap - 1, 0, -1) if n[h]), 0)
-            if h:
-                return self.open[h][-1], h
-            return self._open(), 0
+            if not h and not self.open[0]:
+                self.open[0].append(self._new())
+            return self.open[h][-1], h
         if size >= cap:
-            self.n += 1
-            return self.n - 1, 0
+            return self._new(), 0
         top = cap - size
         h = np.flatnonzero(n[1 : top + 1]) + 1
         best, at = 2 * n[size] + 1, 0
@@ -52,14 +52,16 @@ class SumOfSquares:
             c = self.open[at].pop()
             n[at] -= 1
         else:
-            c, self.n = self.n, self.n + 1
+            c = self._new()
         if at + size < cap:
             self.open[at + size].append(c)
             n[at + size] += 1
         return c, at
 
-    def _open(self) -> int:
-        """A container for items of size 0 when none is open: it stays at level 0, then the next item may take it."""
+    def _new(self) -> int:
+        """An empty container: the open one, if items of size 0 have opened one, else the next number."""
+        if self.open[0]:
+            return self.open[0].pop()
         self.n += 1
         return self.n - 1
 

@@ -66,3 +66,8 @@ def test_table_edge_cases(spark):
     assert pack_texts(df.limit(0), "doc_id", "text").count() == 0
     fills = pack_texts(df.repartition(3), "doc_id", "text", capacity=100).groupBy("container_id").sum("n_tokens").collect()
     assert all(r[1] <= 100 for r in fills)
+
+
+def test_empty_items_open_one_container():
+    assert [c for *_, c, _ in pack_rows([(1, 0), (2, 0), (3, 0), (4, 5), (5, 0)], 10, 0)] == [0] * 5
+    assert [c for *_, c, _ in pack_rows([(1, 0), (2, 10), (3, 0), (4, 23)], 10, 0)] == [0, 0, 1, 1, 2, 3]

@@ -97,7 +97,8 @@ def split_spans(text: str, tok, limit: int, overlap: int) -> list[tuple[int, int
         at = starts[a] if k else 0
         core = total[z] - total[a]
         begin, again = _repeat(text, tok, starts, total, a, before, min(overlap, max(0, limit - core))) if k else (0, 0)
-        out.append((begin, starts[z] if z < len(starts) else len(text), core + again, again))
+        end = starts[z] if z < len(starts) else len(text)
+        out.append((begin, end, tok.count(text[begin:end]), again))  # white space at the end of a piece counts otherwise than inside
         before = begin if k else at
     return out
 

@@ -1,7 +1,7 @@
-import pytest
+import random
 
 from aguayo.llm import canon
-from aguayo.llm.canon import Terms, edits, fold, map_values, unmatched
+from aguayo.llm.canon import Near, Terms, allowance, edits, fold, map_values, unmatched
 
 ENTRIES = [(1, "Másñimay", None), (2, "Másñimay Tardío", "Late Másñimay"), (3, "fibra de agave", "agave fiber"), (4, "tela llana", "plain weave"), (5, "seda", "silk"), (6, "capa corta", "short cape"), (7, "gorro", "cap"), (8, "anillado cruzado", "cross-knit looping")]
 CASES = {
@@ -40,8 +40,32 @@ def test_table(spark):
     assert map_values(df.limit(0), terms, "row_id", ["f"]).count() == 0
 
 
-def test_reference_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(canon, "TERMS", 2)
-    terms = spark.createDataFrame([(e, "f", a, b) for e, a, b in ENTRIES], "entry_id long, field_name string, label string, label_en string")
-    with pytest.raises(ValueError):
-        map_values(spark.createDataFrame([(1, "a")], "row_id long, f string"), terms, "row_id", ["f"])
+def test_reference_list_in_blocks(spark, monkeypatch):
+    terms = spark.createDataFrame([(e, f, a, b) for e, a, b in ENTRIES for f in ("f", "g")], "entry_id long, field_name string, label string, label_en string")
+    rows = [(i, v, "hot" if i % 2 else v) for i, v in enumerate(CASES)] * 2 + [(500 + i, "másñimay", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, f string, g string")
+    one = sorted(map(tuple, map_values(df, terms, "row_id", ["f", "g"]).collect()))
+    monkeypatch.setattr(canon, "BLOCK_BYTES", 100)
+    assert sorted(map(tuple, map_values(df, terms, "row_id", ["f", "g"]).collect())) == one and len(one) > 120
+
+
+def test_values_with_other_words():
+    t = Terms([*ENTRIES, (20, "Nasca", None), (21, "Wari", None), (22, "Wari Tardío", None), (23, "faja ancha", None)])
+    want = {"probable Wari": 21, "Wari, costa sur, periodo medio": 21, "Nasca o Wari": 20, "Nasca o Wari tardío": 22, "posiblemente Másñiamy": 1, "M�s�imay (según ficha)": 1, "fajan cha": 23, "two faces Wari": 21, "MÃƒÂ¡sÃƒÂ±imay": 1}
+    assert {v: t.match(v)[0] for v in want} == want
+    assert Terms(ENTRIES, frozenset({"seda"})).match("seda lana")[0] == 0
+
+
+def test_near_finds_what_counting_edits_finds():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 14)))
+    words = {w: allowance(len(w)) for w in (word() for _ in range(400))}
+    near = Near(words)
+    for _ in range(300):
+        w = list(r.choice(list(words)))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.randint(0, 1)] = r.choice(["", "a", "e", canon.ANY])
+        w = "".join(w)
+        if w.strip(canon.ANY):
+            assert near.find(w) == sorted((edits(w, x, 9), x) for x, most in words.items() if edits(w, x, 9) <= most)

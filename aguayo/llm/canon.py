@@ -23,7 +23,7 @@ from ..functions.lineage import checkpointed, spread
 from ..functions.text import clean
 from .codecs import TRANSFORMS, UTF8, all_images, letter_images, odd, utf8_char, utf8_pattern
 
-BLOCK_BYTES = 1_000_000  # names of the reference list in one broadcast; longer lists are taken in blocks of this size
+BLOCK_BYTES = 500_000  # names of the reference list in one broadcast; longer lists are taken in blocks of this size
 # Words that carry no name.
 SMALL_WORDS = frozenset("de del la el en por a of the".split())
 SIMILAR = 0.6  # least share of common words in all words of a value and a name

@@ -41,21 +41,29 @@ def garble(text: str, written: str, read: str) -> str | None:
     return "".join(map(bytes_to_chars(read).__getitem__, raw))
 
 
+def foreign(c: str) -> bool:
+    """Whether it is a letter of another script: that comes in whole words, never as a single letter among Latin ones."""
+    o = ord(c)
+    return 0x370 <= o <= 0x45F or 0x460 <= o <= 0xFFFF and c.isalpha() and not 0x1E00 <= o <= 0x1EFF
+
+
 def plausible(c: str) -> bool:
-    """Whether a character may be the original of a two- or three-byte sequence."""
+    """Whether a character may be the original of a sequence: letters, signs of European texts, and all that takes four bytes."""
     o = ord(c)
     if c in chars_to_bytes(SINGLE) and o > 127:  # also half-way back from a text that was read wrongly twice
         return True
-    return 0xA0 <= o <= 0x17F or 0x300 <= o <= 0x36F or 0x370 <= o <= 0x45F or 0x2010 <= o <= 0x203A or 0x2190 <= o <= 0x22FF or c in "€™"
+    if o > 0xFFFF:
+        return unicodedata.category(c)[0] != "C"
+    return 0xA0 <= o <= 0x17F or 0x300 <= o <= 0x36F or 0x1E00 <= o <= 0x1EFF or 0x2010 <= o <= 0x203A or 0x2190 <= o <= 0x22FF or c in "€™" or foreign(c)
 
 
 @lru_cache(64)
 def utf8_pattern(read: str) -> re.Pattern:
-    """Sequences of characters that are the bytes of one UTF-8 character of two or three bytes."""
+    """Sequences of characters that are the bytes of one UTF-8 character of two to four bytes."""
     t = bytes_to_chars(read)
     cls = lambda r: "[" + "".join(re.escape(t[b]) for b in r if ord(t[b]) > 127) + "]"
     tail = cls(range(0x80, 0xC0))
-    return re.compile(f"{cls(range(0xC2, 0xE0))}{tail}|{cls(range(0xE0, 0xF0))}{tail}{{2}}")
+    return re.compile(f"{cls(range(0xC2, 0xE0))}{tail}|{cls(range(0xE0, 0xF0))}{tail}{{2}}|{cls(range(0xF0, 0xF5))}{tail}{{3}}")
 
 
 def utf8_char(seq: str, read: str) -> str | None:
@@ -64,9 +72,21 @@ def utf8_char(seq: str, read: str) -> str | None:
         c = bytes(table[x] for x in seq).decode("utf-8")
     except (UnicodeDecodeError, KeyError, ValueError):
         return None
+    if "\x80" <= c <= "\x9f":  # half-way back, where the sequence holds what no text has
+        return c if any("\x80" <= x <= "\x9f" for x in seq) else None
     return c if plausible(c) else None
 
 
+def ungarble(word: str, written: str, read: str) -> str | None:
+    """The word from which garble gives this one; None if there is none."""
+    table = chars_to_bytes(read)
+    try:
+        raw = bytes(table[c] for c in word)
+        return raw.decode("utf-8") if written == UTF8 else "".join(map(bytes_to_chars(written).__getitem__, raw))
+    except (KeyError, UnicodeDecodeError):
+        return None
+
+
 @lru_cache(64)
 def letter_images(read: str) -> dict[str, str]:
     """What accented Latin letters written in SINGLE look like when read as ``read``: image to letter."""

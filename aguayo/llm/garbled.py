@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,13 +13,14 @@ from pyspark.sql import Window as W
 
 from ..functions.arrow import columns, rows_out
 from ..functions.lineage import checkpointed, spread
-from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, garble, letter_images, odd, sign_images, sign_pattern, utf8_char, utf8_pattern
+from .codecs import SINGLE, TRANSFORMS, UTF8, all_images, bytes_to_chars, chars_to_bytes, foreign, garble, letter_images, odd, sign_images, sign_pattern, ungarble, utf8_char, utf8_pattern
 
 LOST = "�"
 BY_RUNS = -2  # in place of a transformation: runs learned as they are
 BY_TWIN = -1  # in place of a transformation: lost characters that the twin still has
 # a word with at least one character beyond ASCII; both engines' syntax
 WORD = r"[A-Za-z]*+[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*"
+PLAIN = r"^[\p{IsLatin}¿¡«»“”&&[^ªº]]+$"  # words that may be twins
 _WORD = re.compile("[A-Za-z]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
 _RUNS = re.compile("[^\x00-\x7f]+")
 _FOREIGN = re.compile("(?:GREEK|CYRILLIC|HEBREW|ARABIC|ARMENIAN|GEORGIAN|THAI) ")
@@ -91,8 +93,7 @@ def twin_pairs(words: DataFrame) -> DataFrame:
     Words are counted first, so a hot word is one row; each word meets one twin, never all words
     of its group.
     """
-    plain = F.col("word").rlike(r"^[\p{IsLatin}¿¡«»“”&&[^ªº]]+$")
-    twin = F.max(F.when(plain, F.struct("n", "word"))).over(W.partitionBy("letters"))
+    twin = F.max(F.when(F.col("word").rlike(PLAIN), F.struct("n", "word"))).over(W.partitionBy("letters"))
     return words.withColumn("twin", twin).filter(F.col("twin").isNotNull() & (F.col("twin.word") != F.col("word"))).select("word", F.col("twin.word").alias("twin"))
 
 
@@ -145,6 +146,33 @@ def settled(explained: DataFrame, learned: list[tuple[str, str, bool]]) -> DataF
     return rows.select(F.when(turn, F.col("twin")).otherwise(F.col("word")).alias("word"), F.when(turn, F.col("word")).otherwise(F.col("twin")).alias("twin"), why.alias("why"))
 
 
+def further_twins(words: DataFrame, explained: DataFrame, chosen: list[int]) -> DataFrame:
+    """(word, twin, why) of words that their most frequent twin does not explain, but another plain word does.
+
+    The chosen transformations are turned round: what a word would be without them is looked up
+    among the counted words, so no word meets all others of its letters. The twin must be more
+    frequent; of several the most frequent one counts.
+    """
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64()), ("twin", pa.string()), ("why", pa.int32())])
+
+    def turn(batches):
+        def rows():
+            for b in batches:
+                for w, n in zip(*columns(b, "word", "n")):
+                    for i in chosen:
+                        x = ungarble(w, *TRANSFORMS[i])
+                        if x is not None and x != w:
+                            yield w, n, x, i
+
+        yield from rows_out(schema, rows())
+
+    rest = words.join(explained.select("word").distinct(), "word", "left_anti")
+    turned = rest.select("word", "n").mapInArrow(turn, "word string, n long, twin string, why int")
+    plain = words.filter(F.col("word").rlike(PLAIN)).select(F.col("word").alias("twin"), F.col("n").alias("twin_n"))
+    met = turned.join(plain, "twin").filter("twin_n > n").groupBy("word").agg(F.max(F.struct("twin_n", "twin", "why")).alias("m"))
+    return met.select("word", "m.twin", F.array("m.why").alias("why"))
+
+
 def choose_transforms(sets: list[tuple[list[int], int]], support: int) -> list[int]:
     """Fewest transformations first: again and again the one that explains most of what is left."""
     left, chosen = [(why, n) for why, n in sets if BY_TWIN not in why], []
@@ -177,7 +205,7 @@ class Mapping:
         parts = [f"[{esc(LOST)}\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9f}}]"]
         for r in self.utf8:
             t = bytes_to_chars(r)
-            parts.append(f"[{esc(t[0xC2:0xF0])}][{esc(t[0x80:0xC0])}]")
+            parts.append(f"[{esc(t[0xC2:0xF5])}][{esc(t[0x80:0xC0])}]")
         inner, other = set(), set()
         for r in self.single:
             for c in letter_images(r):
@@ -224,7 +252,7 @@ class Mapping:
                 continue  # it closes a quotation
             found.append((m.start(), m.end(), c))
         # other scripts come as whole words, never as a single letter
-        keep = [f for k, f in enumerate(found) if not (0x370 <= ord(f[2]) <= 0x45F) or any(g[0] == f[1] or f[0] == g[1] for g in found[max(0, k - 1) : k + 2] if g is not f) or _CONTROLS.search(text, f[0], f[1])]
+        keep = [f for k, f in enumerate(found) if not foreign(f[2]) or any(g[0] == f[1] or f[0] == g[1] for g in found[max(0, k - 1) : k + 2] if g is not f) or _CONTROLS.search(text, f[0], f[1])]
         if not keep:
             return None
         out, at = [], 0
@@ -235,38 +263,44 @@ class Mapping:
 
     def restore(self, text: str) -> tuple[bool, str]:
         """(garbled, original as far as it can be restored)."""
-        garbled = False
-        for _ in range(4):  # text may be garbled more than once
+        return self.restored(text)[:2]
+
+    def restored(self, text: str) -> tuple[bool, str, list[tuple[str, str]]]:
+        """restore, and (word as it was, word as it stands now): several tables may fit a text, and a twin knows better."""
+        garbled, words, steps = False, [w for w in dict.fromkeys(_WORD.findall(text)) if LOST not in w], []
+        while True:  # text may be garbled more than once; each round makes it shorter
             best = None
             for r in self.utf8:
                 x = self._utf8(text, r)
                 if x is not None and (best is None or len(x) < len(best)):
-                    best = x
+                    best, step = x, lambda w, r=r: self._utf8(w, r) or w
             if best is None or best == text:
                 break
             text, garbled = best, True
+            steps.append(step)
         if not garbled:
             best, fewest = None, None
             union = {k: v for r in self.single for k, v in letter_images(r).items()}
             for r in self.single:
                 images = letter_images(r)
-                words = [w for w in _WORD.findall(text) if odd(w, images)]
+                strange = [w for w in _WORD.findall(text) if odd(w, images)]
                 signs = sign_pattern(r)
-                if words or signs and signs.search(text):
+                if strange or signs and signs.search(text):
                     every, table, own = all_images(r), chars_to_bytes(r), bytes_to_chars(SINGLE)
                     x, at = "", 0
                     for m in signs.finditer(text) if signs else ():
                         x += "".join(every.get(c, c) for c in text[at : m.start()]) + own[table[m[0]]]
                         at = m.end()
                     x += "".join(every.get(c, c) for c in text[at:])
-                    left = sum(odd(w, union) for w in _WORD.findall(x)), sum(not c.isalpha() for w in words for c in "".join(every.get(c, c) for c in w))
+                    left = sum(odd(w, union) for w in _WORD.findall(x)), sum(not c.isalpha() for w in strange for c in "".join(every.get(c, c) for c in w))
                     if fewest is None or left < fewest:
-                        best, fewest = x, left
+                        best, fewest, step = x, left, lambda w, every=every: "".join(every.get(c, c) for c in w)
             if best is not None:
                 text, garbled = best, True
+                steps.append(step)
         if self.between and self.between.search(text):
             garbled = True  # restored word by word, by the twin if there is one
-        return garbled or LOST in text or _CONTROLS.search(text) is not None, text
+        return garbled or LOST in text or _CONTROLS.search(text) is not None, text, [(w, reduce(lambda x, f: f(x), steps, w)) for w in words] if steps else []
 
     def doubtful(self, text: str) -> list[str]:
         """Words that look right, but may be images of others: only a twin can tell."""
@@ -280,7 +314,8 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
        plain twin, and the runs between the letters are aligned.
     2. Transformations (an encoding written, another read) that explain the most aligned runs are
        kept, each with at least ``support`` distinct words of its own. Runs that no listed pair of
-       encodings explains are learned as they are, by the same support.
+       encodings explains are learned as they are, by the same support. Words that their most
+       frequent twin does not explain look for another one by these transformations.
     3. They are applied to every value that holds one of their characters. A word that looks right
        in itself counts only if its own twin explains it. A lost character (U+FFFD) always counts;
        it is restored where the twin of its word has one character in its place, else it stays.
@@ -296,10 +331,13 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
     # as many rows as there are sets of transformations that explain a word
     sets = [(list(r.why), r.n) for r in explained.filter(F.col("why")[0] != BY_RUNS).groupBy("why").agg(F.count_distinct("word").alias("n")).collect()]
     chosen = choose_transforms(sets, support)
-    # the letters beyond ASCII of all twins, a small set
-    letters = explained.filter(F.col("why")[0] != BY_RUNS).select(F.explode(F.split(F.regexp_replace("twin", "[\\x00-\\x7f]", ""), "")).alias("c")).distinct().limit(2_000).collect()
+    if chosen:
+        explained = explained.unionByName(checkpointed(further_twins(words, explained, chosen)))
+    # the letters beyond ASCII of all twins: twins are PLAIN words or their images, so this is a part of an alphabet at any size
+    letters = explained.filter(F.col("why")[0] != BY_RUNS).select(F.explode(F.split(F.regexp_replace("twin", "[\\x00-\\x7f]", ""), "")).alias("c")).distinct().orderBy("c").collect()
     mapping = Mapping(chosen, "".join(r.c for r in letters), learned)
-    schema = pa.schema([("row_id", pa.int64()), ("field_name", pa.string()), ("value_text", pa.string()), ("restored", pa.string()), ("sure", pa.bool_()), ("words", pa.list_(pa.string()))])
+    schema = pa.schema([("row_id", pa.int64()), ("field_name", pa.string()), ("value_text", pa.string()), ("restored", pa.string()), ("sure", pa.bool_()), ("words", pa.list_(pa.struct([("was", pa.string()), ("now", pa.string())])))])
+    pair = lambda w, x: {"was": w, "now": x}
 
     def apply(batches):
         signs = [p for p in (sign_pattern(r) for r in mapping.single) if p]
@@ -318,31 +356,31 @@ def find_garbled(df: DataFrame, key: str, fields: list[str], support: int = 3) -
                 for i, f, t in zip(*columns(b, "row_id", "field_name", "value")):
                     kinds = set(map(kind, _WORD.findall(t)))
                     if 1 in kinds or any(p.search(t) for p in signs):
-                        garbled, x = mapping.restore(t)
+                        garbled, x, turned = mapping.restored(t)
                         if garbled:
-                            yield i, f, t, x, True, [w for w in _WORD.findall(x) if LOST in w or mapping.held(w)]
+                            yield i, f, t, x, True, [pair(w, w) for w in _WORD.findall(x) if LOST in w or mapping.held(w)] + [pair(*p) for p in turned]
                             continue
                     if 2 in kinds:
-                        yield i, f, t, t, False, mapping.doubtful(t)
+                        yield i, f, t, t, False, [pair(w, w) for w in mapping.doubtful(t)]
 
         yield from rows_out(schema, rows(), 5_000)
 
     words = F.array_join(F.regexp_extract_all("value", F.lit(WORD), F.lit(0)), " ")
-    hits = spread(long).filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<string>")
+    hits = spread(long).filter(words.rlike(mapping.triggers())).mapInArrow(apply, "row_id long, field_name string, value_text string, restored string, sure boolean, words array<struct<was:string,now:string>>")
     hits = checkpointed(hits)
     wanted = F.array(*[F.lit(i) for i in [*chosen, BY_TWIN, BY_RUNS]])
     twins = explained.filter(F.arrays_overlap("why", wanted)).groupBy("word").agg(F.min("twin").alias("twin"))
-    by_signs = F.col("word")
+    by_signs = F.col("now")
     for g, c in mapping.signs.items():
         by_signs = F.regexp_replace(by_signs, f"(?<=[a-zA-Z]){''.join(f'\\x{{{ord(x):x}}}' for x in g)}(?=[a-zA-Z])", c)
     told = (
         hits.filter(F.size("words") > 0)
-        .withColumn("word", F.explode(F.array_distinct("words")))
-        .join(twins, "word", "left")
+        .select("row_id", "field_name", "value_text", "restored", "sure", F.inline(F.array_distinct("words")))
+        .join(twins, F.col("was") == F.col("word"), "left")
         .filter(F.col("twin").isNotNull() | F.col("sure"))
-        .withColumn("twin", F.coalesce("twin", F.nullif(by_signs, F.col("word"))))
+        .withColumn("twin", F.coalesce("twin", F.nullif(by_signs, F.col("now"))))
         .groupBy("row_id", "field_name", "value_text", "restored")
-        .agg(F.sort_array(F.collect_set(F.when(F.col("twin").isNotNull(), F.struct("word", "twin")))).alias("w"))
-        .select("row_id", "field_name", "value_text", F.aggregate("w", F.col("restored"), lambda t, x: F.replace(t, x["word"], x["twin"])).alias("restored"))
+        .agg(F.sort_array(F.collect_set(F.when(F.col("twin").isNotNull(), F.struct("now", "twin")))).alias("w"))
+        .select("row_id", "field_name", "value_text", F.aggregate("w", F.col("restored"), lambda t, x: F.replace(t, x["now"], x["twin"])).alias("restored"))
     )
     return hits.filter(F.col("sure") & (F.size("words") == 0)).select("row_id", "field_name", "value_text", "restored").unionByName(told)

@@ -88,3 +88,45 @@ def test_empty_and_null(spark):
     assert find_garbled(df, "row_id", ["title"]).count() == 0 and find_garbled(df.limit(0), "row_id", ["title"]).count() == 0
     one = spark.createDataFrame([(1, "x�y " * 20_000), (2, "x�y")], "row_id long, title string")
     assert find_garbled(one, "row_id", ["title"]).count() == 2
+
+
+def test_rarer_twins(spark):
+    clean = "avô café coração lã ação irmão pão mãe".split()
+    rows = [t for t in clean for _ in range(20)] + ["avó"] * 6 + ["PANTEÓN"] * 9 + ["PANTEÔN"] * 4
+    ways = [("cp1252", "mac_roman"), ("cp1252", "iso8859-2")]
+    dirty = [g for t in clean for w, x in ways if (g := garble(t, w, x)) != t and g != "l„"] + [garble("avó", *ways[0]), garble("PANTEÔN", *ways[0])]
+    df = spark.createDataFrame([*enumerate(rows), *enumerate(dirty, 1000)], "row_id long, title string")
+    got = {r.row_id: r.restored for r in find_garbled(df, "row_id", ["title"]).collect()}
+    assert set(got) == set(range(1000, 1000 + len(dirty)))
+    assert got[1000 + len(dirty) - 2] == "avó" and got[1000 + len(dirty) - 1] == "PANTEÔN"
+
+
+def test_four_bytes_and_other_scripts():
+    m = Mapping([TRANSFORMS.index(("utf-8", "cp1252")), TRANSFORMS.index(("utf-8", "latin-1"))])
+    for t in ("nota \U0001f9f6 final", "日本の織物 x", "שלום manta", "Việt Nam", "\U0001d400bc"):
+        g = garble(t, "utf-8", "cp1252")
+        assert m.restore(g) == (True, t), t
+    for t in ("un café”—dijo", "el té€… 3", "ä¿ qué?", "日本 café"):
+        assert m.restore(t) == (False, t), t
+    x = "Perú año"
+    for _ in range(7):
+        x = garble(x, "utf-8", "latin-1")
+    assert m.restore(x) == (True, "Perú año")
+
+
+def test_restoring_is_right_in_most_of_held_out_values(spark):
+    """Values garbled in every listed way that changes them; those of which nothing is lost are restored as they were."""
+    r, rows, want = random.Random(11), [], {}
+    for i in range(4000):
+        t = f"{r.choice(NAMES)} con {r.choice(NAMES)} {r.randint(1, 99)}"
+        if i % 8 == 0:
+            w, x = TRANSFORMS[(i // 8) % len(TRANSFORMS)]
+            g = garble(t, w, x)
+            if g is not None and g != t:
+                want[i], t = t, g
+        rows.append((i, t))
+    got = {x.row_id: x.restored for x in find_garbled(spark.createDataFrame(rows, "row_id long, title string"), "row_id", ["title"]).collect()}
+    assert len(set(want) & set(got)) >= 0.99 * len(want) and len(set(got) - set(want)) <= 0.01 * len(want)
+    right = sum(got.get(i) == t for i, t in want.items())
+    print("restored", right, "of", len(want))
+    assert right >= 0.9 * len(want), [(got[i], t) for i, t in want.items() if got.get(i) not in (None, t)][:9]

@@ -6,15 +6,20 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, rows_out
 from ..functions.lineage import checkpointed, spread
 
-N = 5  # words of an n-gram
+N = 5  # words of an n-gram; the one in the middle may differ
+EDGE = 2  # words on each side of a stretch by which its surroundings are told apart
 WHOLE = 0.8  # share of an item's words from which a stretch is the item itself, never a formula
 ITEM_BYTES = 16_000_000  # text of the items in one broadcast; more items are taken in blocks of this size
 
@@ -55,11 +60,14 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
 
 def near(a: str, b: str) -> bool:
     """Equal but for light spelling: one edit or swap from four letters, two from eight."""
-    if a == b:
-        return True
+    return a == b or _alike(a, b)
+
+
+@lru_cache(1 << 16)
+def _alike(a: str, b: str) -> bool:
     la, lb = len(a), len(b)
     most = 0 if min(la, lb) < 4 else 1 if min(la, lb) < 8 else 2
-    if not most or abs(la - lb) > most:
+    if not most or abs(la - lb) > most or len(set(a) ^ set(b)) > 2 * most:
         return False
     before, row = None, list(range(lb + 1))
     for i, x in enumerate(a, 1):
@@ -114,46 +122,76 @@ def _walk(w: list[str], v: list[str], i: int, j: int, step: int) -> tuple[int, i
     return *end, same
 
 
+def _mixed(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the window of N words at each place, without the word in the middle."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for i in (0, 1, 3, 4):
+        h = (h ^ ids[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _windows(ids: np.ndarray) -> np.ndarray:
+    """Places of the windows whose words are all known, but for the one in the middle."""
+    if len(ids) < N:
+        return np.zeros(0, dtype=np.int64)
+    known = ids >= 0
+    return np.flatnonzero(known[:-4] & known[1:-3] & known[3:-1] & known[4:])
+
+
 class Index:
-    """The n-grams of the items, with the places where they stand."""
+    """The n-grams of the items as a sorted array of keys, with the places where they stand."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.vocabulary: dict[str, int] = {}
         self.items = [(i, words(t or "")) for i, t in items]
-        self.vocabulary = {x for _, w in self.items for x in w}
-        self.grams: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, w) in enumerate(self.items):
-            for p in range(len(w) - N + 1):
-                self.grams[" ".join(w[p : p + N])].append((k, p))
-
-    def hits(self, w: list[str]) -> list[tuple[int, str, list[tuple[int, int]]]]:
-        """(place, n-gram, item places) of the document's windows that are in the set."""
-        known = bytes(map(self.vocabulary.__contains__, w))
-        out, a = [], known.find(b"\1" * N)
-        while a >= 0:
-            z = known.find(b"\0", a)
-            z = len(w) if z < 0 else z
-            for p in range(a, z - N + 1):
-                g = " ".join(w[p : p + N])
-                found = self.grams.get(g)
-                if found:
-                    out.append((p, g, found))
-            a = known.find(b"\1" * N, z)
+        for x in chain.from_iterable(w for _, w in self.items):
+            self.vocabulary.setdefault(x, len(self.vocabulary))
+        self.marks = [_number(w) for _, w in self.items]
+        flat, starts = self.flat([w for _, w in self.items])
+        at = _windows(flat)
+        key = _mixed(flat, at)
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.ends = np.append(first, len(at)).astype(np.int32)
+        self.item = (np.searchsorted(starts, at[order], "right") - 1).astype(np.int32)
+        self.place = (at[order] - starts[self.item]).astype(np.int32)
+
+    def flat(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of all texts, -1 for unknown ones and twice behind each text; where each text starts)."""
+        ids = np.fromiter(map(self.vocabulary.get, chain.from_iterable(chain(w, ("", "")) for w in texts), repeat(-1)), dtype=np.int64)
+        return ids, np.cumsum([0, *(len(w) + 2 for w in texts)], dtype=np.int64)[:-1]
+
+    def hits(self, texts: list[list[str]]) -> dict[int, list[tuple[int, int, int]]]:
+        """By text: (place, item, place in the item) of the windows that are in the set, in order."""
+        ids, starts = self.flat(texts)
+        at = _windows(ids)
+        if not len(at) or not len(self.keys):
+            return {}
+        key = _mixed(ids, at)
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[slot] == key
+        at, slot = at[same], slot[same]
+        text = np.searchsorted(starts, at, "right") - 1
+        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for t, p, k in zip(text.tolist(), (at - starts[text]).tolist(), slot.tolist()):
+            a, z = self.ends[k], self.ends[k + 1]
+            out[t] += zip(repeat(p), self.item[a:z].tolist(), self.place[a:z].tolist())
         return out
 
     def stretches(self, w: list[str], hits, least: int):
         """(item place, first and last document word, item words that agree and where the stretch lies) of every stretch of ``least`` item words."""
         done: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for p, _, found in hits:
-            for k, q in found:
-                done[k] = [s for s in done[k] if s[1] >= p]  # hits come in order: earlier stretches can't hold them
-                if any(a <= p <= z and b <= q <= y for a, z, b, y in done[k]):
-                    continue  # inside a stretch that is known
-                v = self.items[k][1]
-                z, y, right = _walk(w, v, p, q, 1)
-                a, b, left = _walk(w, v, p - 1, q - 1, -1)
-                done[k].append((a, z, b, y))
-                if y - b + 1 >= least:
-                    yield k, a, z, sorted({*left, *right}), b, y
+        for p, k, q in hits:
+            done[k] = [s for s in done[k] if s[1] >= p]  # hits come in order: earlier stretches can't hold them
+            if any(a <= p <= z and b <= q <= y for a, z, b, y in done[k]):
+                continue  # inside a stretch that is known
+            v = self.items[k][1]
+            z, y, right = _walk(w, v, p, q, 1)
+            a, b, left = _walk(w, v, p - 1, q - 1, -1)
+            done[k].append((a, z, b, y))
+            if y - b + 1 >= least:
+                yield k, a, z, sorted({*left, *right}), b, y
 
 
 def _blocks(items: DataFrame, item: str, text: str) -> list[list[tuple[int, str]]]:
@@ -165,25 +203,35 @@ def _blocks(items: DataFrame, item: str, text: str) -> list[list[tuple[int, str]
         yield [tuple(r) for r in (rows if n == 1 else rows.filter(F.pmod(F.xxhash64(item), F.lit(n)) == k)).collect()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", least: int = 15, formula_share: float = 0.01, formula_least: int = 25, agreeing: float = 0.6) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", least: int = 15, formula_share: float = 0.01, formula_least: int = 25, agreeing: float = 0.6,
+    formula_in_one_item: bool = False,
+) -> DataFrame:
     """Documents that hold a passage of an item: key, item, first_word, last_word (from 0), n_words.
 
     A stretch counts with its item words from the first to the last that agree; at least
     ``least`` of them, leaving out those covered only by standing formulas, and ``agreeing`` of them word for word or nearly so. One
     row per document, item and stretch. A standing formula is a stretch with the same ends (one word
-    more or less) in more than ``formula_share`` of all distinct texts and in at least
-    ``formula_least`` of them. So neither copies of a text make a formula, nor a passage whose ends
-    differ from text to text; nor does a stretch of ``least`` words that is most of an item. The set
-    of n-grams is broadcast, documents are scanned once without a shuffle; only text hashes and the
-    found stretches are shuffled. Larger sets of items are taken block by block. NULL and empty texts hold nothing;
-    repeated documents each give their rows; no items or no documents give no rows.
+    more or less) in more different surroundings (the words before and behind it) than
+    ``formula_share`` of all distinct texts, and at least in ``formula_least``. So neither copies of
+    a text make a formula, with changes elsewhere or without, nor a passage whose ends differ from
+    text to text, nor a stretch of ``least`` words that is most of an item. What has ``least`` words
+    itself is a formula only if it stands in several items (or with ``formula_in_one_item``):
+    a passage that leaked from one item is found in however many texts it stands.
+
+    The set of n-grams (windows of five words whose middle one may differ) is broadcast, documents
+    are scanned once without a shuffle; only text hashes and the found stretches are shuffled.
+    Larger sets of items are taken block by block. NULL and empty texts hold nothing; repeated
+    documents each give their rows; no items or no documents give no rows.
     """
     if key == item:
         raise ValueError("documents and items need keys of different names")
     n_texts = docs.select(F.xxhash64(F.col(text).cast("string"))).distinct().count()
-    schema = pa.schema([("copy", pa.int64()), ("seen", pa.list_(pa.string())), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
+    around = pa.struct([("s", pa.string()), ("at", pa.int64()), ("of", pa.int64())])
+    schema = pa.schema([("seen", pa.list_(around)), (key, pa.int64()), (item, pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("agree", pa.list_(pa.int32())), ("low", pa.int32()), ("high", pa.int32()), ("grams", pa.list_(pa.string()))])
     spark = docs.sparkSession
-    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") >= 2 * least - 1)).withColumn("copy", F.xxhash64("t"))
+    shortest = max(1, int(agreeing * least))  # characters: words have at least one, and so many agree
+    source = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.length("t") >= shortest))
     out = None
     for block in _blocks(items, item, text):
         shared = spark.sparkContext.broadcast(Index(block))
@@ -193,33 +241,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
 
             def rows():
                 for b in batches:
-                    for i, t, copy in zip(*columns(b, "k", "t", "copy")):
-                        w = words(t)
-                        hits = index.hits(w)
-                        if not hits:
-                            continue
-                        part, whole = set(), set()
+                    ids, texts = columns(b, "k", "t")
+                    texts = list(map(words, texts))
+                    for at, hits in index.hits(texts).items():
+                        w, i, part = texts[at], ids[at], {}
                         for k, a, z, agree, low, high in index.stretches(w, hits, N):
                             v = index.items[k][1]
                             n = high - low + 1
-                            (whole if n >= max(least, WHOLE * len(v)) else part).add(" ".join(v[low : high + 1]))
+                            if n < max(least, WHOLE * len(v)):
+                                s = " ".join(v[low : high + 1])
+                                part[s, _number(w[max(0, a - EDGE) : a], w[z + 1 : z + 1 + EDGE]), index.marks[k]] = None
                             if n >= least:
-                                yield None, None, i, index.items[k][0], a, z, agree, low, high, [" ".join(v[q : q + N]) for q in range(low, high - N + 2)]
-                        if part - whole:
-                            yield copy, sorted(part - whole), None, None, None, None, None, None, None, None
+                                yield None, i, index.items[k][0], a, z, agree, low, high, [" ".join(v[q : q + N]) for q in range(low, high - N + 2)]
+                        if part:
+                            yield [{"s": s, "at": x, "of": o} for s, x, o in part], None, None, None, None, None, None, None, None
 
             yield from rows_out(schema, rows(), 2_000)
 
-        part = source.mapInArrow(scan, f"copy long, seen array<string>, `{key}` long, `{item}` long, first_word int, last_word int, agree array<int>, low int, high int, grams array<string>")
+        part = source.mapInArrow(scan, f"seen array<struct<s:string,at:long,of:long>>, `{key}` long, `{item}` long, first_word int, last_word int, agree array<int>, low int, high int, grams array<string>")
         out = part if out is None else out.unionByName(part)
     found = checkpointed(out)
-    # stretches counted once a text; each also counts for those that lack its first word, its last one or both
-    seen = found.filter("copy is not null").select("copy", F.explode("seen").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).select(F.split("s", " ").alias("w"), "n")
+    # stretches counted once for each of their surroundings; each also counts for those that lack its first word, its last one or both
+    seen = found.filter("seen is not null").select(F.inline("seen")).groupBy("s", "at").agg(F.min("of").alias("a"), F.max("of").alias("z")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).withColumn("w", F.split("s", " "))
     ends = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a in (0, 1) for z in (0, 1)])
     cores = seen.withColumn("e", F.explode(ends)).filter(F.size("w") - F.col("e.a") - F.col("e.z") >= N)
-    cores = cores.groupBy(F.expr("slice(w, e.a + 1, size(w) - e.a - e.z)").alias("w")).agg(F.sum("n").alias("n")).filter((F.col("n") > formula_share * n_texts) & (F.col("n") >= formula_least))
+    cores = cores.groupBy(F.expr("slice(w, e.a + 1, size(w) - e.a - e.z)").alias("w")).agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).filter((F.col("n") > formula_share * n_texts) & (F.col("n") >= formula_least))
+    if not formula_in_one_item:
+        cores = cores.filter((F.size("w") < least) | (F.col("a") < F.col("z")))
     formulas = cores.select(F.explode(F.expr(f"transform(sequence(1, size(w) - {N - 1}), q -> array_join(slice(w, q, {N}), ' '))")).alias("gram")).distinct()
-    hits = found.filter("copy is null").drop("copy", "seen").withColumn("hit", F.monotonically_increasing_id())
+    hits = found.filter("seen is null").drop("seen").withColumn("hit", F.monotonically_increasing_id())
     in_formula = hits.select("hit", F.posexplode("grams").alias("q", "gram")).join(formulas, "gram", "left_semi").groupBy("hit").agg(F.collect_set("q").alias("q"))
     covered = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda q: F.sequence(q, q + N - 1))))
     own = hits.join(in_formula, "hit", "left").withColumn("formula_words", F.coalesce(F.size(covered(F.col("q"))), F.lit(0)))
@@ -227,6 +277,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
     return own.filter((F.col("n_words") >= least) & (F.size("agree") >= agreeing * (F.col("high") - F.col("low") + 1))).select(key, item, "first_word", "last_word", "n_words")
 
 
+def _number(*lists: list[str]) -> int:
+    """The same number for the same words, in every process."""
+    return int(xxhash.xxh3_64_intdigest("\n".join(map(" ".join, lists)))) >> 1
+
+
 def leaked_items(leaks: DataFrame, key: str, item: str) -> DataFrame:
     """(key, item), each pair once."""
     return leaks.select(key, item).distinct()

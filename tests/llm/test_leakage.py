@@ -56,7 +56,7 @@ def test_standing_formula_is_no_leak(spark):
     formula = " ".join(f"formula{i}" for i in range(18))
     items = [(1, sentence(r, 30) + " " + formula), (2, sentence(r, 40))]
     docs = [(d, sentence(r, 40) + " " + (formula if d % 3 == 0 else "")) for d in range(300)] + [(1000, items[1][1]), (1001, items[0][1])]
-    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), "doc_id", "item_id", formula_share=0.05)
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), "doc_id", "item_id", formula_share=0.05, formula_in_one_item=True)
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1000, 2), (1001, 1)}
 
 
@@ -92,4 +92,40 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "", 0), (2, "", "", 0), (3, " ".join(VOCAB[:16]) * 1, "", 0), (4, (" ".join(VOCAB[:16]) + " ") * 3000, "", 0)], DOC)
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items, "doc_id", "item_id", formula_share=2).collect()} == {(3, 3), (4, 3)}
     assert find_leaks(docs, items.limit(0), "doc_id", "item_id").count() == 0 and find_leaks(docs.limit(0), items, "doc_id", "item_id").count() == 0
-    assert Index([]).hits(["a"] * 9) == []
+    assert Index([]).hits([["a"] * 9]) == {} and Index([(1, " ".join(VOCAB[:9]))]).hits([[], VOCAB[:4], VOCAB[:2] + ["x"] + VOCAB[3:5]]) == {2: [(0, 0, 0)]}
+
+
+def test_widespread_leaks_are_found(spark):
+    """An item, and a fixed part of an item, in some and in all of many different texts."""
+    r = random.Random(9)
+    items = [(i, sentence(r, 40)) for i in range(3)]
+    di = spark.createDataFrame(items, ITEM)
+    for n in (30, 200):
+        for part in (items[0][1], " ".join(items[1][1].split()[5:27])):
+            docs = [(d, f"{sentence(r, 40)} {part if d < n else sentence(r, 22)} {sentence(r, 9)}") for d in range(200)]
+            got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), di, "doc_id", "item_id").collect()
+            assert {x.doc_id for x in got} == set(range(n)) and len({x.item_id for x in got}) == 1
+
+
+def test_formulas_of_several_items_and_copies_with_changes(spark):
+    r = random.Random(10)
+    formula = " ".join(f"formula{i}" for i in range(18))
+    items = [(1, f"{sentence(r, 30)} {formula}"), (2, f"{formula} {sentence(r, 40)}"), (3, sentence(r, 60))]
+    docs = [(d, f"{sentence(r, 40)} {formula} {sentence(r, 5)}") for d in range(100)]
+    quoted = " ".join(items[2][1].split()[20:44])
+    docs += [(1000 + d, f"{sentence(r, 8)} copia {d} según {quoted} fin de la cita {d}") for d in range(100)]  # copies that are all distinct
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), "doc_id", "item_id")
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1000 + d, 3) for d in range(100)}
+
+
+def test_changes_at_every_third_word(spark):
+    r = random.Random(12)
+    items = [(1, sentence(r, 60))]
+    v = items[0][1].split()
+    docs = []
+    for step in (3, 4, 5, 6):
+        w = v[10:34]
+        w = [x if (i + 1) % step else x[0] + "x" + x[2:] + "q" for i, x in enumerate(w)]
+        docs.append((step, f"{sentence(r, 20)} {' '.join(w)} {sentence(r, 20)}"))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), "doc_id", "item_id")
+    assert {x.doc_id for x in got.collect()} == {3, 4, 5, 6}

@@ -272,7 +272,7 @@ def find_leaks(
     hits = found.filter("seen is null").drop("seen").withColumn("hit", F.monotonically_increasing_id())
     in_formula = hits.select("hit", F.posexplode("grams").alias("q", "gram")).join(formulas, "gram", "left_semi").groupBy("hit").agg(F.collect_set("q").alias("q"))
     covered = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda q: F.sequence(q, q + N - 1))))
-    own = hits.join(in_formula, "hit", "left").withColumn("formula_words", F.coalesce(F.size(covered(F.col("q"))), F.lit(0)))
+    own = hits.join(in_formula.hint("merge"), "hit", "left").withColumn("formula_words", F.coalesce(F.size(covered(F.col("q"))), F.lit(0)))
     own = own.withColumn("n_words", F.col("high") - F.col("low") + 1 - F.greatest(F.col("formula_words"), F.lit(0)))
     return own.filter((F.col("n_words") >= least) & (F.size("agree") >= agreeing * (F.col("high") - F.col("low") + 1))).select(key, item, "first_word", "last_word", "n_words")
 

@@ -55,11 +55,12 @@ def orphan_times(long: DataFrame) -> DataFrame:
         .select(F.col("src_table").alias("s"), F.col("key").alias("k"), F.col("second").alias("t"), "carried", "has_parent")
     )
     met = times.join(known, (F.col("src_table") == F.col("s")) & (F.col("key") == F.col("k")) & (F.col("second") == F.col("t"))).drop("s", "k", "t")
+    # both uses of the times need all of their columns, so their shuffle is done once
     so_far = W.partitionBy("src_table", "key", "second").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     return (
         met.withColumn("lives", F.greatest("carried", lives_of.over(so_far)))
         .filter((F.col("only_parents") == 0) & (F.col("at").isNull() | F.col("lives").isNull() | (F.col("lives") <= F.col("at"))))
-        .select("src_table", "key", "at", F.when(F.col("has_parent") == 0, "missing").when(F.col("lives").isNotNull() & F.col("at").isNotNull(), "deleted").otherwise("late").alias("kind"))
+        .select("src_table", "key", "at", F.when(F.greatest("has_parent", "parent") == 0, "missing").when(F.col("lives").isNotNull() & F.col("at").isNotNull(), "deleted").otherwise("late").alias("kind"))
     )
 
 

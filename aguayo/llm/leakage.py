@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, rows_out
 from ..functions.lineage import checkpointed, spread
+from .canon import edits
 
 N = 5  # words of an n-gram; the one in the middle may differ
+REMEMBERED = 64  # letters of the longest words whose comparisons are remembered
 EDGE = 2  # words on each side of a stretch by which its surroundings are told apart
 WHOLE = 0.8  # share of an item's words from which a stretch is the item itself, never a formula
 ITEM_BYTES = 16_000_000  # text of the items in one broadcast; more items are taken in blocks of this size
@@ -60,7 +62,7 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
 
 def near(a: str, b: str) -> bool:
     """Equal but for light spelling: one edit or swap from four letters, two from eight."""
-    return a == b or _alike(a, b)
+    return a == b or (_alike if len(a) <= REMEMBERED else _alike.__wrapped__)(a, b)
 
 
 @lru_cache(1 << 16)
@@ -69,16 +71,7 @@ def _alike(a: str, b: str) -> bool:
     most = 0 if min(la, lb) < 4 else 1 if min(la, lb) < 8 else 2
     if not most or abs(la - lb) > most or len(set(a) ^ set(b)) > 2 * most:
         return False
-    before, row = None, list(range(lb + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            c = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                c = min(c, before[j - 2] + 1)
-            new.append(c)
-        before, row = row, new
-    return row[-1] <= most
+    return edits(a, b, most) <= most
 
 
 def _walk(w: list[str], v: list[str], i: int, j: int, step: int) -> tuple[int, int, list[int]]:
